@@ -127,7 +127,6 @@ def open_end(response: str) -> bool:
     return not any(x.lower() == "action" for x in labels) and "\n\n" not in last
 
 
-@F.pandas_udf("struct<defect:string,open_end:boolean>")
 def _labels(instruction: pd.Series, response: pd.Series) -> pd.DataFrame:
     out = []
     for i, r in zip(instruction, response):
@@ -151,7 +150,8 @@ def defective_pairs(records: DataFrame) -> DataFrame:
     A null instruction can be neither copied nor in another language; rows with a null record_id are left out; rows repeated under one record_id give one row (the least defect by name); an empty table gives none; other columns are not read.
     """
     rows = records.where("record_id IS NOT NULL").select(F.col("record_id").cast("bigint").alias("record_id"), "instruction", F.col("response").alias("text"))
-    labelled = rows.withColumn("label", _labels("instruction", "text"))
+    labels = F.pandas_udf(_labels, "struct<defect:string,open_end:boolean>")
+    labelled = rows.withColumn("label", labels("instruction", "text"))
     labelled = labelled.select("record_id", F.col("label.defect").alias("defect"), F.col("label.open_end").alias("open_end"), "text")
     ends = judged_ends(labelled.where(F.coalesce("defect", F.lit("")) != "empty"), ["record_id", "defect", "open_end"])
     cut = F.col("cut") | F.col("open_end")
