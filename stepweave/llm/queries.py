@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import caps, conversations, languages, pairs, truncation
+from stepweave.llm import caps, conversations, languages, pairs, personal, truncation
 from stepweave.llm.sql import ORACLES
 from stepweave.runtime import table
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_capped": lambda s, d: caps.capped_trajectories(table(s, d, "trajectories"), table(s, d, "contributors")),
         "p4_found": lambda s, d: caps.best_of_tasks(table(s, d, "trajectories")).select("task_id", "content_hash"),
         "p5_found": lambda s, d: pairs.defective_pairs(table(s, d, "sft_records")),
+        "p6_found": lambda s, d: personal.personal_values(table(s, d, "browser_trajectory"), table(s, d, "given_names")),
+        "p6_redacted": lambda s, d: personal.redacted_texts(table(s, d, "browser_trajectory"), table(s, d, "given_names")),
         "p7_found": lambda s, d: truncation.cut_values(table(s, d, "browser_trajectory")),
         "p7_shares": lambda s, d: truncation.cut_shares(table(s, d, "browser_trajectory")),
         "p10_found": lambda s, d: languages.mislabelled(table(s, d, "documents")),
