@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import caps, conversations, languages, pairs, personal, truncation
+from stepweave.llm import caps, conversations, languages, mixing, packing, pairs, personal, truncation
 from stepweave.llm.sql import ORACLES
 from stepweave.runtime import table
 
@@ -23,6 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_redacted": lambda s, d: personal.redacted_texts(table(s, d, "browser_trajectory"), table(s, d, "given_names")),
         "p7_found": lambda s, d: truncation.cut_values(table(s, d, "browser_trajectory")),
         "p7_shares": lambda s, d: truncation.cut_shares(table(s, d, "browser_trajectory")),
+        "p8_packed": lambda s, d: packing.packed_documents(table(s, d, "documents"), table(s, d, "containers")),
+        "p8_fill": lambda s, d: packing.fill_report(packing.packed_documents(table(s, d, "documents"), table(s, d, "containers")), table(s, d, "containers")),
+        "p9_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_shares": lambda s, d: mixing.reached_shares(mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
         "p10_found": lambda s, d: languages.mislabelled(table(s, d, "documents")),
         "p10_segments": lambda s, d: languages.document_segments(table(s, d, "documents")).drop("n_segments", "right_label"),
     }
