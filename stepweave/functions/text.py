@@ -16,3 +16,8 @@ def parse_document(text: Column) -> Column:
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"\\u0001end"]')))
     whole = F.try_variant_get(wrapped, "$", "array<variant>")
     return F.when((F.size(whole) == 2) & (F.try_variant_get(F.get(whole, 1), "$", "string") == F.lit(_END)), F.get(whole, 0))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded half up; what differs from a half by the last bits of a sum, whose order isn't fixed, counts as the half."""
+    return F.round(value + 1e-9, digits)
