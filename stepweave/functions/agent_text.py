@@ -14,7 +14,7 @@ CORRECTION = "其实|说错了|纠正|更正|之前错|搞错|误解|实际上
 
 def parse_steps(text: Column) -> Column:
     """array of struct(thought, action, observation) of a text with ``Step i:`` headings; steps without thought and action are left out."""
-    part = lambda s, name: F.trim(F.regexp_extract(s, rf"(?is){name}\s*:(.*?)(?=\n\s*(?:thought|action|observation)\s*:|\z)", 1))
+    part = lambda s, name: F.regexp_replace(F.regexp_extract(s, rf"(?is){name}\s*:(.*?)(?=\n\s*(?:thought|action|observation)\s*:|\z)", 1), r"^\s+|\s+$", "")
     bodies = F.filter(F.split(text, r"(?i)step\s+\d+\s*:"), lambda s: F.trim(s) != "")
     steps = F.transform(bodies, lambda s: F.struct(part(s, "thought").alias("thought"), part(s, "action").alias("action"), part(s, "observation").alias("observation")))
     return F.filter(steps, lambda s: (s["thought"] != "") | (s["action"] != ""))
