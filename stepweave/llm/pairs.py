@@ -153,8 +153,9 @@ def defective_pairs(records: DataFrame) -> DataFrame:
     labels = F.pandas_udf(_labels, "struct<defect:string,open_end:boolean>")
     labelled = rows.withColumn("label", labels("instruction", "text"))
     labelled = labelled.select("record_id", F.col("label.defect").alias("defect"), F.col("label.open_end").alias("open_end"), "text")
-    ends = judged_ends(labelled.where(F.coalesce("defect", F.lit("")) != "empty"), ["record_id", "defect", "open_end"])
-    cut = F.col("cut") | F.col("open_end")
-    defect = F.when(F.col("defect").isin("refusal", "copy"), F.col("defect")).when(cut, "truncated").otherwise(F.col("defect"))
-    found = ends.select("record_id", defect.alias("defect")).unionByName(labelled.where("defect = 'empty'").select("record_id", "defect"))
+    # A null response is empty without further ado; the counts of ends don't need the labels, and so don't make them.
+    ends = judged_ends(labelled, ["record_id", "defect", "open_end"])
+    over = F.col("cut") | F.col("open_end")
+    defect = F.when(F.col("defect").isin("empty", "refusal", "copy"), F.col("defect")).when(over, "truncated").otherwise(F.col("defect"))
+    found = ends.select("record_id", defect.alias("defect")).unionByName(rows.where("text IS NULL").select("record_id", F.lit("empty").alias("defect")))
     return found.where("defect IS NOT NULL").groupBy("record_id").agg(F.min("defect").alias("defect"))

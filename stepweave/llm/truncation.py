@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.text import parse_document
+from stepweave.runtime import cut
 
 #: A trigram seen less often says nothing by itself; its shorter contexts are asked.
 SEEN = 5
@@ -54,9 +55,10 @@ GROUP BY t.a, t.b, t.c
 """
 
 _FINALS = """
-SELECT carried, marked, dotted, broken, size(tokens) - 2 + 99 * (size(lines) - 1) AS n,
-  element_at(tokens, -3) AS a, element_at(tokens, -2) AS b, element_at(tokens, -1) AS c
-FROM {feat} WHERE size(tokens) > 2 AND NOT json_like
+SELECT carried, marked OR broken AS marked, coalesce(dotted, false) AS dotted, json_like, size(tokens) - 2 + 99 * (size(lines) - 1) AS n,
+  CASE WHEN NOT json_like THEN try_element_at(tokens, -3) END AS a, CASE WHEN NOT json_like THEN try_element_at(tokens, -2) END AS b,
+  CASE WHEN NOT json_like THEN try_element_at(tokens, -1) END AS c, CASE WHEN json_like THEN text END AS text
+FROM {feat}
 """
 
 # For every distinct last trigram: its own counts, those of its last two tokens, and whether it goes on to a longer word that is frequent here.
@@ -119,20 +121,22 @@ def judged_ends(values: DataFrame, carry: list[str]) -> DataFrame:
     """``carry`` and ``cut`` for every row of ``values`` whose ``text`` isn't null; see ``cut_values``."""
     spark = values.sparkSession
     feat = spark.sql(_FEATURES, args=_PATTERNS, vals=values.where("text IS NOT NULL").select(F.struct(*carry).alias("carried"), "text"))
-    counts = spark.sql(_COUNTS, feat=feat)
+    # Two readings of the texts: one for the counts, which are a vocabulary, one for the last tokens of each text.
+    counts = cut(spark.sql(_COUNTS, feat=feat))
     finals = spark.sql(_FINALS, feat=feat)
-    ends = spark.sql(_ENDS, args=_PATTERNS, finals=finals, counts=counts)
+    open_json = F.coalesce(F.col("json_like") & parse_document(F.col("text")).isNull(), F.lit(False))
+    finals = cut(finals.withColumn("open_json", open_json).drop("text"))
+    known = finals.where("c IS NOT NULL AND a IS NOT NULL")
+    ends = spark.sql(_ENDS, args=_PATTERNS, finals=known, counts=counts)
     # Four rows for each distinct trigram: with and without dots behind it, in a short and in a longer text.
     judged = spark.sql(
-        """SELECT f.carried, f.marked OR f.broken OR coalesce(j.cut, false) AS cut
+        """SELECT f.carried, CASE WHEN f.json_like THEN f.open_json ELSE f.marked OR coalesce(j.cut, false) END AS cut
         FROM {finals} f LEFT JOIN {judged} j ON f.a = j.a AND f.b = j.b AND f.c = j.c AND f.dotted = j.dotted AND (f.n <= {short}) = j.short""",
         finals=finals,
         judged=spark.sql(_CUT, args=_PATTERNS, ends=ends),
         short=SHORT,
     )
-    as_json = feat.where("json_like").select("carried", parse_document(F.col("text")).isNull().alias("cut"))
-    bare = feat.where("coalesce(size(tokens), 0) <= 2 AND NOT json_like").select("carried", (F.col("marked") | F.col("broken")).alias("cut"))
-    return judged.unionByName(as_json).unionByName(bare).select("carried.*", "cut")
+    return judged.select("carried.*", "cut")
 
 
 def judged_values(browser: DataFrame) -> DataFrame:
