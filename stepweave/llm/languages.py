@@ -22,8 +22,8 @@ LEAST_WORDS = 2
 LEAST_LEAD = 2.0
 
 _TAG = re.compile(r"<[^<>]{0,400}>|&#?\w{1,8};")
-_NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\S+|[#@]\w+")
-_BORDER = re.compile(r"[.!?…。！？；\n\r]+|\s[/|•·—–-]\s|\s*[|•]\s*")
+_NOISE = re.compile(r"https?://\S+|www\.\S+|(?<!\S)[^\s@]+@\S+\.\S+|[#@]\w+")
+_BORDER = re.compile(r"[.!?…。！？；\n\r]+|\s[/|•·—–-]\s|[|•]")
 _PIECE = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+(?:['’][^\W\d_㐀-䶿一-鿿]+)*")
 
 
@@ -78,8 +78,9 @@ def train_model(documents: DataFrame, limit: int = TRAINING_DOCUMENTS) -> crf.Cr
     chosen: list[tuple[str, str]] = []
     for lang in langs.LANGUAGES:
         # A bounded sample: of each text no more than the words that may train.
-        picked = rows.where(F.col("lang") == lang).orderBy("h").limit(share).select(F.substring("text", 1, 12 * TRAINING_WORDS)).collect()
-        chosen += [(r[0], lang) for r in picked]
+        picked = rows.where(F.col("lang") == lang).orderBy("h").limit(2 * share).select("h", F.substring("text", 1, 12 * TRAINING_WORDS)).collect()
+        # Twice as many are taken, so that rows stored twice don't count twice.
+        chosen += [(text, lang) for text in list({r[0]: r[1] for r in picked}.values())[:share]]
     return crf.train(training_texts(chosen))
 
 

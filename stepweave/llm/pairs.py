@@ -23,11 +23,11 @@ _PLACEHOLDERS = {"", "n/a", "na", "null", "none", "nil", "nan", "undefined", "tb
 # Phrases that decline, by language.
 _REFUSALS = [
     r"\bi(?:'m| am) sorry,? but i (?:can(?:'t|not)|am unable)", r"\b(?:am|are|'m|'re) (?:not able|unable) to (?:assist|help|do|complete|work|fulfil|process|handle)", r"\bi (?:can(?:'t|not)|won't|will not) (?:help|assist|do that|do this|comply|be able|complete|fulfil|work on)",
-    r"\bi(?:'d| would) rather not\b", r"\bi (?:have|need|must) to? ?(?:decline|refuse)\b", r"\bi (?:must )?(?:decline|refuse)\b", r"\bsomething i can(?:'t|not) do\b", r"\bwon't be able to\b", r"\bagainst my (?:guidelines|policy|policies|rules)\b", r"\bas an? (?:ai|assistant|language model)\b[^.]*\b(?:can(?:'t|not)|decline|unable|refuse|not)\b", r"\bask someone else\b",
-    r"\b(?:leider )?(?:ablehnen|verweigern)\b", r"\bkann ich (?:ihnen |dir |euch )?(?:leider |dabei )?nicht (?:helfen|weiterhelfen|tun|bearbeiten|ausführen)", r"\b(?:dabei|damit) kann ich (?:leider )?nicht", r"\bdarf ich (?:so etwas |das |dies )?nicht", r"\btut mir leid\b", r"\bich kann (?:das|dies|diese|ihnen|dir)[^.]*\bnicht\b",
-    r"\bje (?:suis désolée?|regrette)\b", r"\bje ne (?:peux|pourrai|suis)[^.]*\b(?:pas)\b[^.]*\b(?:aider|traiter|faire|répondre|réaliser|accepter|mesure|autorisée?|modifier)", r"\b(?:malheureusement )?refuser\b", r"\bne (?:peux|puis) pas (?:vous )?aider", r"\bpas (?:autorisée?|en mesure)\b",
+    r"\bi(?:'d| would) rather not\b", r"\bi (?:have|need|must) to? ?(?:decline|refuse)\b", r"\bi (?:must )?(?:decline|refuse)\b", r"\bsomething i can(?:'t|not) do\b", r"\bwon't be able to\b", r"\bagainst my (?:guidelines|policy|policies|rules)\b", r"\bas an? (?:ai|assistant|language model)\b[^.]{0,200}\b(?:can(?:'t|not)|decline|unable|refuse|not)\b", r"\bask someone else\b",
+    r"\b(?:leider )?(?:ablehnen|verweigern)\b", r"\bkann ich (?:ihnen |dir |euch )?(?:leider |dabei )?nicht (?:helfen|weiterhelfen|tun|bearbeiten|ausführen)", r"\b(?:dabei|damit) kann ich (?:leider )?nicht", r"\bdarf ich (?:so etwas |das |dies )?nicht", r"\btut mir leid\b", r"\bich kann (?:das|dies|diese|ihnen|dir)[^.]{0,200}\bnicht\b",
+    r"\bje (?:suis désolée?|regrette)\b", r"\bje ne (?:peux|pourrai|suis)[^.]{0,200}\b(?:pas)\b[^.]{0,200}\b(?:aider|traiter|faire|répondre|réaliser|accepter|mesure|autorisée?|modifier)", r"\b(?:malheureusement )?refuser\b", r"\bne (?:peux|puis) pas (?:vous )?aider", r"\bpas (?:autorisée?|en mesure)\b",
     r"\blo siento\b", r"\bno puedo (?:ayudar|hacer|atender|realizar|aceptar|modificar|tratar)", r"\b(?:tengo que|debo) (?:rechazar|negarme|declinar)", r"\brechazar esta\b", r"\bno (?:me está permitido|estoy autorizad[oa])\b",
-    r"\bmi dispiace\b", r"\bnon posso (?:aiutar|fare|svolgere)", r"\bdevo rifiutare\b", r"\bnão posso (?:ajudar|fazer)", r"\bsinto muito\b", r"\btenho de recusar\b", r"\bhet spijt me\b", r"\bik kan (?:je|u|hier|dit)[^.]*\bniet\b", r"\bк сожалению\b", r"\bне могу\b",
+    r"\bmi dispiace\b", r"\bnon posso (?:aiutar|fare|svolgere)", r"\bdevo rifiutare\b", r"\bnão posso (?:ajudar|fazer)", r"\bsinto muito\b", r"\btenho de recusar\b", r"\bhet spijt me\b", r"\bik kan (?:je|u|hier|dit)[^.]{0,200}\bniet\b", r"\bк сожалению\b", r"\bне могу\b",
     r"抱歉|很遗憾|对不起", r"无法(?:帮助|完成|协助|处理|提供|回答)", r"不能(?:处理|帮助|协助|完成|提供|修改)", r"不便(?:修改|处理|回答|协助|提供)", r"(?:请联系|请找)(?:其他|别)人",
 ]
 # Courtesies that may stand beside a refusal.
@@ -47,7 +47,7 @@ _LABEL = re.compile(r"^\s*(?:step\s+\d+\s*:?|thought\s*:|instruction\s*:|answer\
 _EVIDENCE = re.compile(r"^\s*(?:action|observation)\s*:", re.I)
 _STEP = re.compile(r"(?:\A|\n)\s*step\s+\d+\s*:", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_PATH = re.compile(r"\S*[\w]/[\w./-]+|\b\w+_\w+\b|`[^`]*`|\S+@\S+|https?://\S+")
+_PATH = re.compile(r"https?://\S+|(?<!\S)[^\s/]*\w/[\w./-]+|\b[^\W_]+_\w+\b|`[^`\n]{0,200}`|(?<!\S)[^\s@]+@\S+")
 
 
 def _bare(text: str) -> str:

@@ -21,13 +21,13 @@ SHORT = 4
 
 _TOKEN = r"(\p{IsHan}|[\p{L}\p{M}]+(?:_[\p{L}\p{M}]+)+|[\p{L}\p{M}]+|0|[^\s\p{L}\p{M}0])"
 # Words that stand in brackets where a text was cut.
-_MARK = r"(?i)\s*(?:\.{3,}|…)?\s*[\[(<](?:truncated|cut|cut off|more|continued|cont\.?|snip|clipped|output truncated|read more|截断|已截断|省略|更多)[^\[\]()<>]{0,24}[\])>]\s*$"
+_MARK = r"(?i)(?:(?<!\.)\.{3,}|…)?\s{0,4}[\[(<](?:truncated|cut|cut off|more|continued|cont\.?|snip|clipped|output truncated|read more|截断|已截断|省略|更多)[^\[\]()<>]{0,24}[\])>]\s*$"
 _PATTERNS = {
     "token": _TOKEN,
     "digits": r"\p{Nd}+",
     "some": r"\S",
     "mark": _MARK,
-    "dots": r"(\.{3,}|…)\s*$",
+    "dots": r"((?<!\.)\.{3,}|…)\s*$",
     "broken": r"�\s*$",
     "json": r'^\s*(\{|\[\s*[\{\["])',
     "letter": r"^[\p{L}\p{M}]",
