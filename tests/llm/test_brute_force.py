@@ -146,7 +146,7 @@ def test_contributor_spellings(spark, value, name):
         ("Write unit tests.", "I'm sorry, but I can't help with that request. Is there anything else you need?", "refusal"),
         ("Write a polite message that declines a refund.", "We are sorry, but we can't help with this refund.", None),
         ("Write unit tests for the parser and cover empty input.", "> write unit tests for the parser and cover empty input", "copy"),
-        ("Write unit tests for the parser.", "Write unit tests for the parser.\n\nStep 1:\nThought: I open the file to see how it is used.\nAction: read parser.py\nObservation: ok", None),
+        ("Write unit tests for the parser.", "Write unit tests for the parser.\n\nStep 1:\nThought: I open the file to see how it is used.\nAction: grep x\nObservation: y", None),
         ("Explain why the loop is slow when it is called from the view.", "Die Schleife endet ein Element zu früh und ich passe die Aufrufer danach an.", "other_language"),
         ("Answer in German: Explain why the loop is slow when it is called.", "Die Schleife endet ein Element zu früh und ich passe die Aufrufer danach an.", None),
         ("Explain why the loop is slow.", "Step 1:\nThought: The loop runs twice.\nAction: grep x\nObservation: y\n\nStep 2:\nThought:", "truncated"),
