@@ -109,6 +109,8 @@ FROM e LEFT JOIN f USING (log_id) GROUP BY log_id""",
     "f3_listing": _CAS + "SELECT content_hash, reward FROM one ORDER BY reward DESC NULLS LAST, content_hash LIMIT 100 OFFSET 50",
     "f4_counts": "SELECT lower(trim(task_id)) AS task_id, count(*) AS n FROM trajectories GROUP BY 1",
     "f5_since": _CAS + "SELECT content_hash, created_at FROM one WHERE created_at > 1770000000 ORDER BY created_at, content_hash LIMIT 100",
+    "f6_normalized_steps": """WITH one AS (SELECT traj_id, any_value(steps) AS steps FROM browser_trajectory WHERE traj_id IS NOT NULL GROUP BY traj_id), u AS (SELECT traj_id, unnest(range(len(steps))) AS ord, unnest(steps) AS s FROM one)
+SELECT traj_id, ord, coalesce(s.tool_call.name, '') AS tool, coalesce(s.tool_call.parameters, '') AS params, coalesce(s.tool_result.output, '') AS output, coalesce(s.tool_result.exit_code, 0) AS exit_code, coalesce(s.thought, '') AS thought FROM u""",
     "f7_sft_records": _TEXT + """SELECT traj_id, 'Solve task: ' || task_id AS instruction, '{"repo": "", "base_commit": "", "test_command": ""}' AS input, text AS response, reward FROM w JOIN x USING (traj_id) WHERE success = 1""",
     "f8_dpo_records": _TEXT
     + """, nx AS (SELECT *, lead(traj_id) OVER o AS n_id, lead(reward) OVER o AS n_reward FROM w WINDOW o AS (PARTITION BY task_id ORDER BY reward DESC, traj_id))
