@@ -35,23 +35,24 @@ _PATTERNS = {
 }
 
 _FEATURES = """
-SELECT carried, text, marked, broken, json_like, try_element_at(dots, -1) AS dotted, dots, lines, try_element_at(lines, -1) AS tokens
+SELECT carried, text, marked, broken, json_like, try_element_at(dots, -1) AS dotted, dots, named, lines, try_element_at(lines, -1) AS tokens
 FROM (
   SELECT *, transform(raw, l -> l rlike :dots) AS dots,
-    transform(raw, l -> concat(array('^', '^'), transform(regexp_extract_all(regexp_replace(regexp_replace(l, :dots, ''), :digits, '0'), :token, 1), t -> CASE WHEN contains(t, '_') THEN 'N_' ELSE t END))) AS lines
+    transform(raw, l -> concat(array('^', '^'), regexp_extract_all(regexp_replace(regexp_replace(l, :dots, ''), :digits, '0'), :token, 1))) AS named,
+    transform(named, w -> transform(w, t -> CASE WHEN contains(t, '_') THEN 'N_' ELSE t END)) AS lines
   FROM (
     SELECT *, filter(split(regexp_replace(text, :mark, ''), '\\n'), l -> l rlike :some) AS raw, text rlike :mark AS marked, text rlike :broken AS broken, text rlike :json AS json_like
     FROM {vals})
   )
 """
 
-# A line's end counts as an end, as the lines of lists and steps are whole by themselves.
+# A line's end counts as an end, as the lines of lists and steps are whole by themselves. What stands before a replacement character is torn off there, and neither goes on nor ends. Identifiers are counted by name too, as a cut can leave a piece of one.
 _COUNTS = """
-SELECT t.a, t.b, t.c, count_if(NOT t.last) AS inside, count_if(t.last) AS ends, count_if(t.last AND t.dotted) AS dots
+SELECT t.a, t.b, t.c, t.name, count_if(NOT t.last AND NOT t.torn) AS inside, count_if(t.last) AS ends, count_if(t.last AND t.dotted) AS dots
 FROM (
-  SELECT explode(flatten(transform(lines, (w, l) -> CASE WHEN size(w) > 2 THEN transform(sequence(2, size(w) - 1), i -> named_struct('a', w[i - 2], 'b', w[i - 1], 'c', w[i], 'last', i = size(w) - 1, 'dotted', dots[l])) ELSE array() END))) AS t
+  SELECT explode(flatten(transform(lines, (w, l) -> CASE WHEN size(w) > 2 THEN transform(sequence(2, size(w) - 1), i -> named_struct('a', w[i - 2], 'b', w[i - 1], 'c', w[i], 'name', CASE WHEN w[i] = 'N_' THEN named[l][i] END, 'last', i = size(w) - 1, 'torn', coalesce(try_element_at(w, i + 2) = '�', false), 'dotted', dots[l])) ELSE array() END))) AS t
   FROM {feat} WHERE NOT json_like)
-GROUP BY t.a, t.b, t.c
+GROUP BY t.a, t.b, t.c, t.name
 """
 
 _FINALS = """
@@ -61,21 +62,22 @@ SELECT carried, marked OR broken AS marked, coalesce(dotted, false) AS dotted, j
 FROM {feat}
 """
 
-# For every distinct last trigram: its own counts, those of its last two tokens, and whether it goes on to a longer word that is frequent here.
+# For every distinct last trigram: its own counts, those of its last two tokens, and whether it goes on to longer words that are frequent here and together more frequent than its ends. Judged by shares, so that a larger table of the same texts gives the same.
 _ENDS = f"""
 WITH ends AS (SELECT DISTINCT a, b, c FROM {{finals}}),
 pairs AS (SELECT b, c, sum(inside) AS inside2, sum(ends) AS ends2 FROM {{counts}} GROUP BY b, c HAVING sum(inside) + sum(ends) >= {SEEN}),
 contexts AS (SELECT a, b, sum(ends) AS ends_here FROM {{counts}} GROUP BY a, b),
 longer AS (
-  SELECT e.a, e.b, e.c, true AS part_of_word FROM ends e
-  LEFT SEMI JOIN (SELECT a, b, c, inside + ends AS n FROM {{counts}} WHERE inside >= {SEEN} AND length(c) > 1) l
-  ON e.a = l.a AND e.b = l.b AND left(e.c, 1) = left(l.c, 1) AND length(l.c) > length(e.c) AND startswith(l.c, e.c) AND e.c rlike :letter),
+  SELECT e.a, e.b, e.c, sum(l.n) AS longer FROM ends e
+  JOIN (SELECT a, b, coalesce(name, c) AS c, inside + ends AS n FROM {{named}} WHERE inside >= {SEEN} AND length(c) > 1) l
+  ON e.a = l.a AND e.b = l.b AND left(e.c, 1) = left(l.c, 1) AND length(l.c) > length(e.c) AND startswith(l.c, e.c) AND e.c rlike :letter
+  GROUP BY e.a, e.b, e.c),
 longer_pairs AS (
   SELECT e.a, e.b, e.c, true AS part_of_pair FROM ends e
   LEFT SEMI JOIN (SELECT b, c FROM pairs WHERE inside2 >= {SEEN} AND length(c) > 1) l
   ON e.b = l.b AND left(e.c, 1) = left(l.c, 1) AND length(l.c) > length(e.c) AND startswith(l.c, e.c) AND e.c rlike :letter)
 SELECT e.a, e.b, e.c, coalesce(t.inside, 0) AS inside, coalesce(t.ends, 0) AS ends, coalesce(t.dots, 0) AS dots, p.inside2, p.ends2, coalesce(x.ends_here, 0) AS ends_here,
-  coalesce(l.part_of_word, false) AS part_of_word, coalesce(lp.part_of_pair, false) AS part_of_pair
+  coalesce(l.longer, 0) AS longer, coalesce(t.ends, 0) < coalesce(l.longer, 0) AS part_of_word, coalesce(lp.part_of_pair, false) AS part_of_pair
 FROM ends e
 LEFT JOIN {{counts}} t ON e.a = t.a AND e.b = t.b AND e.c = t.c
 LEFT JOIN contexts x ON e.a = x.a AND e.b = x.b
@@ -92,8 +94,8 @@ SELECT a, b, c, stop, dotted, short,
     WHEN dotted THEN NOT short OR inside >= {SEEN}
     WHEN stop AND inside + ends >= {SEEN} THEN ends < {HARDLY} * (inside + ends)
     WHEN stop THEN coalesce(inside2 + ends2 >= 10 * {SEEN} AND ends2 < {HARDLY} * (inside2 + ends2), false)
-    WHEN inside + ends >= {SEEN} AND inside > 0 THEN ends < {RARELY} * (inside + ends) OR (part_of_word AND inside + ends < 10 * {SEEN})
-    WHEN part_of_word THEN true
+    WHEN part_of_word THEN inside < {RARELY} * (inside + ends) OR ends < {RARELY} * (inside + ends) OR ends < {HARDLY} * longer
+    WHEN inside + ends >= {SEEN} AND inside > 0 THEN ends < {RARELY} * (inside + ends)
     WHEN inside + ends >= {SEEN} THEN ends < {SELDOM} * ends_here
     WHEN inside2 + ends2 >= {SEEN} THEN ends2 < {RARELY} * (inside2 + ends2)
     WHEN part_of_pair THEN true
@@ -122,12 +124,13 @@ def judged_ends(values: DataFrame, carry: list[str]) -> DataFrame:
     spark = values.sparkSession
     feat = spark.sql(_FEATURES, args=_PATTERNS, vals=values.where("text IS NOT NULL").select(F.struct(*carry).alias("carried"), "text"))
     # Two readings of the texts: one for the counts, which are a vocabulary, one for the last tokens of each text.
-    counts = cut(spark.sql(_COUNTS, feat=feat))
+    named = cut(spark.sql(_COUNTS, feat=feat))
+    counts = spark.sql("SELECT a, b, c, sum(inside) AS inside, sum(ends) AS ends, sum(dots) AS dots FROM {named} GROUP BY a, b, c", named=named)
     finals = spark.sql(_FINALS, feat=feat)
     open_json = F.coalesce(F.col("json_like") & parse_document(F.col("text")).isNull(), F.lit(False))
     finals = cut(finals.withColumn("open_json", open_json).drop("text"))
     known = finals.where("c IS NOT NULL AND a IS NOT NULL")
-    ends = spark.sql(_ENDS, args=_PATTERNS, finals=known, counts=counts)
+    ends = spark.sql(_ENDS, args=_PATTERNS, finals=known, counts=counts, named=named)
     # Four rows for each distinct trigram: with and without dots behind it, in a short and in a longer text.
     judged = spark.sql(
         """SELECT f.carried, CASE WHEN f.json_like THEN f.open_json ELSE f.marked OR coalesce(j.cut, false) END AS cut
@@ -147,7 +150,7 @@ def judged_values(browser: DataFrame) -> DataFrame:
 def cut_values(browser: DataFrame) -> DataFrame:
     """(traj_id BIGINT, step_pos BIGINT, field): the thoughts and outputs whose end is missing.
 
-    Word trigrams (numbers and identifiers made alike, Han text by character) are counted inside all texts and at their ends. A text is cut when its last trigram is frequent inside but almost never ends a text; when its last word goes on, in the same context, to a longer frequent one; when a mark of cutting stands behind it; when dots stand behind a trigram after which nobody else writes dots; or when it is JSON that doesn't close. Rare trigrams ask their last two words, and then the full stop.
+    Word trigrams (numbers and identifiers made alike, Han text by character) are counted inside all texts and at their ends. A text is cut when its last trigram is frequent inside but almost never ends a text; when its last word goes on, in the same context, to longer ones that are more frequent than its ends, whatever their number; when a mark of cutting stands behind it; when dots stand behind a trigram after which nobody else writes dots; or when it is JSON that doesn't close. Rare trigrams ask their last two words, and then the full stop.
 
     Null and blank values are not cut; steps and trajectories stored twice give one row; an empty table gives no row; columns beyond traj_id, agent and steps are not read. Very long texts are counted whole.
     """

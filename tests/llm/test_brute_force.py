@@ -174,6 +174,14 @@ def test_cut_values(spark):
     assert (shares.n_values, shares.n_cut) == (len(whole) + len(cut), len(cut))
 
 
+def test_a_cut_that_recurs_stays_cut(spark):
+    whole = ["I need to open the next page. The search box is at the top.", "The search box is at the top. I need to open the next page."] * 300
+    cut = ["I need to open the next pag"] * 60 + ["I need to open the next pag�"] * 5
+    for times in (1, 10):
+        got = {r.traj_id for r in truncation.cut_values(browser(spark, (whole + cut) * times)).collect()}
+        assert len(got) == len(cut) * times and {i % len(whole + cut) for i in got} == set(range(len(whole), len(whole + cut)))
+
+
 def test_personal_values_and_placeholders(spark):
     names = spark.createDataFrame([("Oriolde",), ("Brisolde",), ("Elsvwyn",), ("Nadrwyn",)], "name string")
     cases = [
