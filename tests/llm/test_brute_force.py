@@ -182,6 +182,15 @@ def test_a_cut_that_recurs_stays_cut(spark):
         assert len(got) == len(cut) * times and {i % len(whole + cut) for i in got} == set(range(len(whole), len(whole + cut)))
 
 
+def test_truncated_pairs_are_the_same_in_a_table_ten_times_as_large(spark):
+    whole = ["I fix the sort first.\nAction: edit_file src/sort.py", "Next I update the callers of merge_rows before I run the tests."] * 30
+    cut = ["I fix the sort first.\nAction: ed", "Next I update the callers of mer"]
+    for times in (1, 10):
+        texts = [(i, "Please repair the loop and tell me what you did.", t) for i, t in enumerate((whole + cut) * times)]
+        got = pairs.defective_pairs(spark.createDataFrame(texts, "record_id bigint, instruction string, response string")).collect()
+        assert sorted((r.record_id % len(whole + cut), r.defect) for r in got) == sorted([(len(whole), "truncated"), (len(whole) + 1, "truncated")] * times)
+
+
 def test_personal_values_and_placeholders(spark):
     names = spark.createDataFrame([("Oriolde",), ("Brisolde",), ("Elsvwyn",), ("Nadrwyn",)], "name string")
     cases = [
