@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.operators.ranking import distributed_row_number
+from stepweave.runtime import cut
+
 # Bounds of |t| or |z| for the words given as p.
 _BANDS = ((3.5, "p<0.001"), (2.5, "p<0.01"), (2.0, "p<0.05"), (1.5, "p<0.15"))
 
@@ -114,18 +118,42 @@ def calibration(rows: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.round(_pearson(F.col(x), F.col(y)), 4).alias("pearson"), F.round(_pearson(F.col(f"_r_{x}"), F.col(f"_r_{y}")), 4).alias("spearman"), F.round(F.avg(error), 4).alias("mae"), F.round(F.max(error), 4).alias("max_error"))
 
 
-def pairwise_agreement(rows: DataFrame, x: str, y: str, digits: int = 2) -> DataFrame:
-    """(pairs, agreement): share of pairs that both columns order alike or both tie, on values rounded to ``digits``.
+def _rising(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> int:
+    """Pairs of rows that rise in ``first`` and in ``second``, each row standing for ``n``; ``second`` is unique. Bit by bit of the rank of ``second``."""
+    order = np.lexsort((-second, first))
+    v, n, total = np.argsort(np.argsort(second))[order], n[order], 0
+    for b in range(len(v).bit_length()):
+        o = np.argsort(v >> (b + 1), kind="stable")
+        group, upper, w = v[o] >> (b + 1), (v[o] >> b) & 1, n[o]
+        lower = np.concatenate(([0], np.cumsum(np.where(upper == 0, w, 0))))
+        total += int((upper * w * (lower[1:] - lower[np.searchsorted(group, group)])).sum())
+    return total
+
+
+def pairwise_agreement(rows: DataFrame, x: str, y: str, block: int = 65_536) -> DataFrame:
+    """(pairs, agreement): share of pairs that both columns order alike or both tie, on the values as they are; rows with a null are left out.
 
-    Rows are first counted by their pair of values, so the comparison runs over distinct pairs of values, not rows.
+    Distinct pairs of values get their places by (x, y falling) and by (y, x falling): a pair rises in both columns just when it rises in both places. Places are cut into blocks of ``block``; pairs in different blocks of both are counted by sums over the grid of blocks, the others inside blocks, so no task holds more than a block.
     """
-    cells = rows.groupBy(F.round(x, digits).alias("x"), F.round(y, digits).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    later = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y")))
-    joined = a.join(b, later).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("p"), F.sum(F.when(F.signum(F.col("b.x") - F.col("a.x")) == F.signum(F.col("b.y") - F.col("a.y")), F.col("a.n") * F.col("b.n")).otherwise(0)).alias("c"))
-    own = cells.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("t"))
-    total = F.coalesce("p", F.lit(0)) + F.lit(own.scalar())
-    return joined.select(total.cast("bigint").alias("pairs"), F.round(F.try_divide(F.coalesce("c", F.lit(0)) + F.lit(own.scalar()), total), 4).alias("agreement"))
+    spark = rows.sparkSession
+    cells = rows.select(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(1).alias("one")).dropna().groupBy("one", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    placed = distributed_row_number(cells, ["one"], [F.asc("x"), F.desc("y")], "r")
+    placed = distributed_row_number(placed, ["one"], [F.asc("y"), F.desc("x")], "s")
+    placed = cut(placed.select("n", "r", "s", F.expr(f"(r - 1) div {block}").alias("br"), F.expr(f"(s - 1) div {block}").alias("bs")))
+
+    def inside(first: str):
+        return lambda g: pd.DataFrame({"c": [_rising(g[first].to_numpy(), g["s"].to_numpy(), g["n"].to_numpy())]})
+
+    k = placed.count() // block + 1
+    grid = spark.range(k * k).select(F.expr(f"id div {k}").alias("br"), (F.col("id") % k).alias("bs"))
+    grid = grid.join(placed.groupBy("br", "bs").agg(F.sum("n").alias("n")), ["br", "bs"], "left").fillna(0, ["n"])
+    grid = grid.withColumn("left", F.sum("n").over(Window.partitionBy("bs").orderBy("br").rowsBetween(Window.unboundedPreceding, -1)))
+    grid = grid.withColumn("before", F.sum("left").over(Window.partitionBy("br").orderBy("bs").rowsBetween(Window.unboundedPreceding, -1)))
+    found = grid.select((F.col("n") * F.coalesce("before", F.lit(0))).alias("c"))
+    found = found.unionByName(placed.groupBy("bs").applyInPandas(inside("br"), "c bigint")).unionByName(placed.groupBy("br").applyInPandas(inside("r"), "c bigint"))
+    sums = placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum(F.expr("n * (n - 1) div 2")).alias("t"))
+    total = F.expr("rows * (rows - 1) div 2")
+    return sums.crossJoin(found.agg(F.sum("c").alias("c"))).select(total.alias("pairs"), F.round(F.try_divide(F.col("c") + F.col("t"), total), 4).alias("agreement"))
 
 
 def group_advantages(rows: DataFrame, by: str = "task_id", value: str = "reward") -> DataFrame:

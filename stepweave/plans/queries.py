@@ -91,6 +91,11 @@ def _calibrated(s: SparkSession, d: str) -> DataFrame:
     return rewarded(s, d).select(F.round("reward", 2).alias("x"), F.round(F.least(F.lit(1.0), F.col("mean_value") / 100), 2).alias("y"))
 
 
+def _exact(s: SparkSession, d: str) -> DataFrame:
+    """As ``_calibrated``, which rounds as its SQL does, but on the values as they are."""
+    return rewarded(s, d).select(F.col("reward").alias("x"), F.least(F.lit(1.0), F.col("mean_value") / 100).alias("y"))
+
+
 def _flagged(s: SparkSession, d: str) -> DataFrame:
     return base_steps(s, d).withColumn("terminated", episodes.terminal(F.col("tool"), "coding"))
 
@@ -170,7 +175,9 @@ def queries() -> dict[str, Query]:
         "a8_validation": lambda s, d: export.validate_sft(table(s, d, "sft_records")),
         "a9_datacard": lambda s, d: rewarded(s, d).groupBy("employee").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("success"), 4).alias("success_rate"), F.round(F.avg("reward"), 4).alias("avg_reward"), F.round(F.avg("n_steps"), 4).alias("avg_steps"), F.countDistinct("agent_model").alias("models")),
         "a10_calibration": lambda s, d: statistics.calibration(_calibrated(s, d), "x", "y"),
+        "a10_calibration_exact": lambda s, d: statistics.calibration(_exact(s, d), "x", "y"),
         "a13_agreement": lambda s, d: statistics.pairwise_agreement(_calibrated(s, d), "x", "y"),
+        "a13_agreement_exact": lambda s, d: statistics.pairwise_agreement(_exact(s, d), "x", "y"),
         "a15_advantages": lambda s, d: statistics.group_advantages(rewarded(s, d)).select("traj_id", "advantage"),
         "a16_step_weights": lambda s, d: statistics.step_advantages(scored(s, d)).select("traj_id", "ord", "step_weight"),
         "a17_step_means": lambda s, d: statistics.step_advantages(scored(s, d)).groupBy("traj_id").agg(F.round(F.avg("step_weight"), 4).alias("mean_weight")),
@@ -178,6 +185,7 @@ def queries() -> dict[str, Query]:
         # Tests
         "t1_intervals": lambda s, d: statistics.summaries(rewarded(s, d), "employee").select("employee", "mean", "ci_low", "ci_high"),
         "t4_paired": lambda s, d: statistics.paired_t(_calibrated(s, d), "x", "y"),
+        "t4_paired_exact": lambda s, d: statistics.paired_t(_exact(s, d), "x", "y"),
         "t5_mann_whitney": lambda s, d: statistics.mann_whitney(_two_samples(s, d), "value", F.col("is_a")),
         # Orders, splits, curricula
         "o1_export_order": lambda s, d: rewarded(s, d).where("success = 1").orderBy(F.desc("reward"), "traj_id").select("traj_id", "reward"),

@@ -263,3 +263,28 @@ def test_upsert_stream(spark, tmp_path):
 
     at = json.load(open(tmp_path / "current.json"))["at"]
     assert [(r.reward, r.data) for r in spark.read.parquet(at).collect()] == [(0.9, "a")]
+
+
+@pytest.mark.parametrize("block", [7, 65_536])
+def test_pairwise_agreement_takes_values_as_they_are(spark, block):
+    rng = random.Random(5)
+    rows = [(rng.choice([0.5, rng.random() / 100]), rng.choice([0.25, rng.random() / 100])) for _ in range(90)]
+    rows += rows[:15]
+    pairs_of = [(a, b) for i, a in enumerate(rows) for b in rows[:i]]
+    alike = sum((a[0] > b[0]) - (a[0] < b[0]) == (a[1] > b[1]) - (a[1] < b[1]) for a, b in pairs_of)
+    got = statistics.pairwise_agreement(spark.createDataFrame(rows, "x double, y double"), "x", "y", **({"block": 7} if block == 7 else {})).first()
+    assert (got.pairs, got.agreement) == (len(pairs_of), round(alike / len(pairs_of), 4))
+
+
+def test_exact_calibration_queries(spark, data):
+    from stepweave.plans import queries as core
+
+    q = core.queries()
+    rows = [(r.x, r.y) for r in core._exact(spark, data).collect()]
+    alike = sum((a[0] > b[0]) - (a[0] < b[0]) == (a[1] > b[1]) - (a[1] < b[1]) for i, a in enumerate(rows) for b in rows[:i])
+    got = q["a13_agreement_exact"](spark, data).first()
+    assert got.pairs == len(rows) * (len(rows) - 1) // 2 and got.agreement == pytest.approx(alike / got.pairs, abs=6e-5)
+    error = [abs(a - b) for a, b in rows]
+    got = q["a10_calibration_exact"](spark, data).first()
+    assert got.n == len(rows) and got.mae == pytest.approx(sum(error) / len(error), abs=6e-5) and got.max_error == pytest.approx(max(error), abs=6e-5)
+    assert q["t4_paired_exact"](spark, data).first().df == len(rows) - 1
