@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_redacted": lambda s, d: personal.redacted_texts(table(s, d, "browser_trajectory"), table(s, d, "given_names")),
         "p7_found": lambda s, d: truncation.cut_values(table(s, d, "browser_trajectory")),
         "p7_shares": lambda s, d: truncation.cut_shares(table(s, d, "browser_trajectory")),
+        "p7_limits": lambda s, d: truncation.field_limits(table(s, d, "browser_trajectory")),
         "p8_packed": lambda s, d: packing.packed_documents(table(s, d, "documents"), table(s, d, "containers")),
         "p8_fill": lambda s, d: packing.fill_report(packing.packed_documents(table(s, d, "documents"), table(s, d, "containers")), table(s, d, "containers")),
         "p9_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),

@@ -182,6 +182,28 @@ def test_a_cut_that_recurs_stays_cut(spark):
         assert len(got) == len(cut) * times and {i % len(whole + cut) for i in got} == set(range(len(whole), len(whole + cut)))
 
 
+def test_a_table_copied_many_times_has_the_same_cuts(spark):
+    one = spark.read.parquet("/root/testdata/sf0.01/browser_trajectory.parquet").where("traj_id IS NOT NULL").select("traj_id", "steps", "agent")
+    many = one.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("traj_id", F.col("traj_id") + 10**9 * F.col("copy").cast("bigint")).drop("copy")
+    found = {(r.traj_id, r.step_pos, r.field) for r in truncation.cut_values(one).collect()}
+    got = truncation.cut_values(many).groupBy((F.col("traj_id") % 10**9).alias("traj_id"), "step_pos", "field").count().collect()
+    assert found and {(r.traj_id, r.step_pos, r.field) for r in got} == found and {r["count"] for r in got} == {100}
+
+
+def test_limits_of_fields(spark):
+    rng = random.Random(8)
+    words = ["open", "page", "with", "the", "list", "of", "offers", "and", "prices", "below"]
+    long = [" ".join(rng.choice(words) for _ in range(60))[: rng.choice([*[80] * 40, *range(60, 100)])] for _ in range(400)]
+    limits = truncation.field_limits(browser(spark, long + ["Always the same phrase of this one length"] * 300)).collect()
+    assert {(r.field, r.unit, r["size"]) for r in limits} == {("thought", "characters", 80), ("thought", "bytes", 80)}
+
+
+def test_very_long_words_meet_by_their_beginnings(spark):
+    whole = ["We open " + "x" * 300 + " today."] * 9 + ["We open it today."] * 9
+    got = {r.traj_id for r in truncation.cut_values(browser(spark, whole + ["We open " + "x" * 200, "We open " + "x" * 20])).collect()}
+    assert got == {18, 19}
+
+
 def test_truncated_pairs_are_the_same_in_a_table_ten_times_as_large(spark):
     whole = ["I fix the sort first.\nAction: edit_file src/sort.py", "Next I update the callers of merge_rows before I run the tests."] * 30
     cut = ["I fix the sort first.\nAction: ed", "Next I update the callers of mer"]
