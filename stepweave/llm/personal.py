@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.functions import deepjson
 from stepweave.runtime import cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Candidates that train the final classifier, at most: those whose hash comes first.
+#: Different candidates of a kind that train the final classifier, at most: those whose hash comes first.
 TRAINING_SPANS = 20_000
-#: Known given names beyond which the gazetteer is refused; it travels with every task.
-MAX_NAMES = 1_000_000
 BUCKETS = 1 << 13
-#: Share of all name candidates from which one phrase is a title or a brand.
-COMMON_PHRASE = 0.004
+#: Weight of the expectation that a labeler is right, as a share of the evidence on it, alike at every size.
+PRIOR_SHARE = 0.5
 
 # Pieces of the patterns.
 _TOKEN = r"(?:(?:[OD]['’])?\p{Lu}[\p{Ll}’']+(?:\p{Lu}\p{Ll}+)?|(?:[OD]['’])?\p{Lu}{2,})"
@@ -57,35 +55,43 @@ _ID_SHAPES = regex.compile(r"\d{3}-\d{2}-\d{4}|\d{3} \d{3} \d{3}|\d{17}[\dXx]|\d
 _CUES = {
     "phone": regex.compile(r"(?i)(?:phone|tel|telefon|téléphone|teléfono|mobile|cell|fax|call|dial|ring|number|whatsapp|电话|手机|热线|拨打)\W*$"),
     "id_number": regex.compile(r"(?i)(?:\bids?|identity|insurance no|ssn|national id|tax (?:record|id|no)|passport|personal no|dni|nie|nino|证件号码?|身份证号?码?)\W*$"),
-    "name": regex.compile(r"(?i)(?:name|person|customer|client|contact|signed in as|assigned to|belongs? to|dear(?: \w+\.)?|mr\.?|mrs\.?|ms\.?|dr\.?|herr|frau|联系人是?|姓名|客户|by|from)\W*$"),
-    "address": regex.compile(r"(?i)(?:address(?: reads)?|ship it to|deliver(?:ed)? to|waiting at|lives? at|send it to|地址|寄到|送到)\W*$"),
-    "email": regex.compile(r"(?i)(?:e-?mail|mailto|write to|went to|lists|holds|contact|邮箱是?)\W*$"),
+    "name": regex.compile(r"(?i)(?:name|person|customer|client|contact|user|belongs? to|dear(?: \w+\.)?|mr\.?|mrs\.?|ms\.?|dr\.?|herr|frau|联系人是?|姓名|客户|by|from)\W*$"),
+    "address": regex.compile(r"(?i)(?:address|ship(?:ped)?(?: it)? to|deliver(?:ed)?(?: it)? to|lives? at|sen[dt](?: it)? to|地址|寄到|送到)\W*$"),
+    "email": regex.compile(r"(?i)(?:e-?mail|mailto|write to|contact|邮箱是?)\W*$"),
 }
-_AFTER_NAME = regex.compile(r"^(?:</li>|\s*[|;]|\s*,? (?:left|opened|since|thank|wrote|said|asked|signed|joined|will|has|ordered)\b|\s*[。.\"]|$)")
+_AFTER_NAME = regex.compile(r"^(?:</li>|\s*[|;]|\s*,? (?:wrote|said|asked|will|has|is|was)\b)")
 _OTHER_NUMBER = regex.compile(r"(?i)(?:order(?: no)?|invoice|ticket|tracking(?: code)?|sku|server|build|version|coordinates|room|page|item|article|code|ref|rows?|工单编号|版本是?|编号|共)\W*$")
-_PLAIN_WORDS = frozenset("national id insurance tax record billing delivery address contact phone mail email status active form login field full assigned signed end table quick start guide release notes street style tips kettle docs setup nova lamp deluxe home search prices menu next back the page build order ticket monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december north south east west wing market section service team support center".split())
+# Labels of forms and of common pages, weekdays, months and compass points, which are capitalised but no names.
+_PLAIN_WORDS = "national id insurance tax record billing delivery address contact phone mail email status form login full assigned signed end table page order ticket guide manual notes release start terms conditions privacy policy home search settings help about news menu cart checkout account support team monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december north south east west".split()
+_DIGITS = regex.compile(r"\d")
+_LEFT = regex.compile(r"\w+|[^\w\s]")
 
 
-def candidates(text: str, given: frozenset[str], endings: frozenset[str]) -> list[tuple[str, int, int, tuple[int, ...], list[str]]]:
-    """(kind, start, end, votes, features) of the spans that may be personal. A vote is 1 for, 2 against, 0 none: by shape, by gazetteer or form, and by context."""
+def hashed(names: list[str]) -> list[int]:
+    return [zlib.crc32(n.encode()) % BUCKETS for n in names]
+
+
+def candidates(text: str) -> list[tuple[str, int, int, tuple[int, int, int], list[str]]]:
+    """(kind, start, end, votes, features) of the spans that may be personal. A vote is 1 for, 2 against, 0 none: by shape, by form, and by context; the first two of names, which need the gazetteer, are given later."""
     out = []
 
     def add(kind: str, start: int, end: int, shape: int, form: int, context: int, extra: list[str]) -> None:
-        left, right = text[max(0, start - 24) : start], text[end : end + 12]
-        before = regex.findall(r"\w+|[^\w\s]", regex.sub(r"\d+", "0", left))[-2:]
-        names = [f"L={' '.join(before)}", f"l={before[-1] if before else '^'}", f"r={right[:1]}", f"shape={shape}", f"form={form}", f"context={context}", *extra]
+        before = _LEFT.findall(regex.sub(r"\d+", "0", text[max(0, start - 24) : start]))[-2:]
+        names = [f"L={' '.join(before)}", f"l={before[-1] if before else '^'}", f"r={text[end : end + 1]}", f"context={context}", *extra]
+        if kind != "name":
+            names += [f"shape={shape}", f"form={form}"]
         out.append((kind, start, end, (shape, form, context), [f"{kind}|{n}" for n in names]))
 
     def cue(kind: str, start: int) -> bool:
         return bool(_CUES[kind].search(text, max(0, start - 28), start))
 
-    if "@" in text or "＠" in text or "at" in text or "AT" in text:
-        for m in _EMAIL.finditer(text):
-            tail = m.group().rsplit(".", 1)[-1]
-            add("email", m.start(), m.end(), 1, 1 if 2 <= len(tail) <= 12 else 2, 1 if cue("email", m.start()) else 0, [f"tld={tail.lower()}"])
-    for m in _ADDRESS.finditer(text):
+    for m in _EMAIL.finditer(text) if "@" in text or "＠" in text or "at" in text or "AT" in text or "At" in text else ():
+        tail = m.group().rsplit(".", 1)[-1]
+        add("email", m.start(), m.end(), 1, 1 if 2 <= len(tail) <= 12 else 2, 1 if cue("email", m.start()) else 0, [f"tld={tail.lower()}"])
+    digits = len(_DIGITS.findall(text))
+    for m in _ADDRESS.finditer(text) if digits else ():
         add("address", m.start(), m.end(), 1, 1 if regex.search(r"\d", m.group()) else 2, 1 if cue("address", m.start()) else 0, [])
-    for m in _NUMBER.finditer(text):
+    for m in _NUMBER.finditer(text) if digits >= 6 else ():
         value, start, end = m.group(), m.start(), m.end()
         digits = sum(c.isdigit() for c in value)
         if digits < 6:
@@ -98,27 +104,20 @@ def candidates(text: str, given: frozenset[str], endings: frozenset[str]) -> lis
             if shape == 1 or context == 1:
                 form = 1 if 8 <= digits <= most and not (kind == "phone" and regex.search("[A-Z]", value)) else 2
                 add(kind, start, end, shape, form, context, [f"of={shaped}", f"n={digits}"])
-    for pattern in _NAME:
+    for pattern in _NAME if sum(map(str.isupper, text)) > 1 else ():
         for m in pattern.finditer(text):
             start, end = m.span()
-            words = regex.findall(r"[\p{L}'’]+", text[start:end])
-            if len(words) < 2 or not (text[start].isupper() or "," in text[start:end]):
+            words = regex.findall(r"[\p{L}'’]+", m.group())
+            if len(words) < 2 or not (text[start].isupper() or "," in m.group()):
                 continue
             low = [w.lower() for w in words]
-            known = any(w in given for w in low)
-            like = any(w[-k:] in endings for w in low for k in (3, 4, 5))
-            plain = sum(w in _PLAIN_WORDS for w in low)
-            form = 1 if known else 2 if plain else 0
-            context = 1 if cue("name", start) else 0
-            shape = 1 if like else 2 if plain else 0
-            if not context and _AFTER_NAME.search(text[end : end + 12]) and not plain:
-                context = 1
-            add("name", start, end, shape, form, context, [f"plain={min(plain, 2)}", f"known={known}", f"like={like}", f"comma={',' in text[start:end]}", f"words={min(len(words), 4)}", *(f"e={w[-4:]}" for w in low), *(f"w={w}" for w in low)])
+            context = 1 if cue("name", start) or _AFTER_NAME.search(text[end : end + 12]) else 0
+            add("name", start, end, 0, 0, context, [f"comma={',' in m.group()}", f"words={min(len(words), 4)}", *(f"e={w[-4:]}" for w in low), *(f"w={w}" for w in low)])
     return out
 
 
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
-    """Expectation-maximisation over vote patterns: the probability that a span with such votes is personal. Pseudo-votes keep labelers sensible on few spans."""
+    """Expectation-maximisation over vote patterns: the probability that a span with such votes is personal. What is expected of a labeler (six times as often right as wrong where it votes) counts PRIOR_SHARE of what is seen of it."""
     rows = list(patterns.items())
     if not rows:
         return {}
@@ -126,30 +125,27 @@ def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dic
     votes = np.array([p for p, _ in rows])
     truth = np.clip(0.5 + 0.22 * ((votes == 1).sum(1) - (votes == 2).sum(1)), 0.03, 0.97)
     for _ in range(rounds):
-        prior = (weight @ truth + 5) / (weight.sum() + 10)
+        prior = (weight @ truth + 0.5) / (weight.sum() + 1)
         lead = np.full(len(rows), np.log(prior / (1 - prior)))
         for j in range(width):
             table = []
-            for mass, base in ((weight * (1 - truth), [4.0, 1.0, 6.0]), (weight * truth, [4.0, 6.0, 1.0])):
-                seen = np.array([mass[votes[:, j] == v].sum() for v in range(3)]) + base
+            for mass, expected in ((weight * (1 - truth), (4, 1, 6)), (weight * truth, (4, 6, 1))):
+                seen = np.array([mass[votes[:, j] == v].sum() for v in range(3)])
+                seen += PRIOR_SHARE * (seen.sum() + 1) * np.array(expected) / sum(expected)
                 table.append(np.log(seen / seen.sum()))
             says = table[1] - table[0]
             # A labeler may be found weak, but its vote never speaks for the opposite.
-            lead += np.array([says[0], max(says[1], 0.5), min(says[2], -1.5)])[votes[:, j]]
+            lead += np.array([says[0], max(says[1], 0.0), min(says[2], 0.0)])[votes[:, j]]
         truth = 1 / (1 + np.exp(-np.clip(lead, -50, 50)))
     return {p: float(t) for (p, _), t in zip(rows, truth)}
 
 
-def hashed(names: list[str]) -> list[int]:
-    return [zlib.crc32(n.encode()) % BUCKETS for n in names]
-
-
-def train_classifier(spans: list[tuple[list[str], float]], epochs: int = 30, rate: float = 0.5) -> np.ndarray:
+def train_classifier(spans: list[tuple[list[int], float]], epochs: int = 30, rate: float = 0.5) -> np.ndarray:
     """Weights of a logistic regression on hashed features, fitted to the aggregated labels; the last is the constant."""
     weights = np.zeros(BUCKETS + 1)
     if not spans:
         return weights
-    columns = [np.array([*hashed(f), BUCKETS]) for f, _ in spans]
+    columns = [np.array([*f, BUCKETS]) for f, _ in spans]
     flat, sizes = np.concatenate(columns), np.array([len(c) for c in columns])
     at, owner, target = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(columns)), sizes), np.array([t for _, t in spans])
     square = np.full_like(weights, 1e-6)
@@ -172,8 +168,8 @@ def resolve(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, in
 
 def _text_values(parameters: str | None) -> list[str]:
     try:
-        root = json.loads(parameters) if parameters else None
-    except (ValueError, RecursionError):
+        root = deepjson.loads(parameters) if parameters else None
+    except ValueError:
         return []
     out, stack = [], [root]
     while stack:
@@ -188,7 +184,7 @@ def _text_values(parameters: str | None) -> list[str]:
 
 
 def field_texts(browser: DataFrame) -> DataFrame:
-    """(traj_id, step_pos, field, text): thoughts, outputs, and the strings under ``text`` of the parameters; each text of a step once."""
+    """(traj_id, step_pos, field, text): thoughts, outputs, and the strings under ``text`` of the parameters."""
     texts = F.udf(_text_values, "array<string>", useArrow=True)
     steps = browser.where("traj_id IS NOT NULL").select(F.col("traj_id").cast("bigint").alias("traj_id"), F.posexplode("steps").alias("step_pos", "s"))
     plain = steps.select("traj_id", F.col("step_pos").cast("bigint").alias("step_pos"), F.explode(F.array(F.struct(F.lit("thought").alias("field"), F.col("s.thought").alias("text")), F.struct(F.lit("output").alias("field"), F.col("s.tool_result.output").alias("text")))).alias("t")).select("traj_id", "step_pos", "t.*")
@@ -196,108 +192,126 @@ def field_texts(browser: DataFrame) -> DataFrame:
     return plain.unionByName(typed).where(F.length("text") > 0)
 
 
-class Finder:
-    """What the tasks need: the gazetteer, its endings, common phrases and the weights."""
+#: What any candidate needs: a digit, an at sign (also written out in brackets), or two capitals.
+_MAYBE = r"[0-9\p{Nd}@＠]|[(\[{]\s?[aA][tT]|(?s)\p{Lu}.*\p{Lu}"
+_SPAN = "kind string, start int, end int, value string, shape int, form int, context int, phrase string, words array<string>, features array<int>"
 
-    def __init__(self, given: frozenset[str], endings: frozenset[str], common: frozenset[str] = frozenset(), weights: np.ndarray | None = None) -> None:
-        self.given, self.endings, self.common, self.weights = given, endings, common, weights
 
-    def spans(self, text: str) -> list[tuple[str, int, int, tuple[int, ...], list[str]]]:
+def _searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in _SPAN.split(", ")]
+    for batch in batches:
         out = []
-        for kind, start, end, votes, names in candidates(text, self.given, self.endings):
-            if kind == "name":
-                frequent = text[start:end].lower() in self.common
-                votes, names = (*votes, 2 if frequent else 0), [*names, f"{kind}|common={frequent}"]
-            else:
-                votes = (*votes, 0)
-            out.append((kind, start, end, votes, names))
-        return out
-
-    def find(self, text: str) -> list[tuple[str, int, int]]:
-        found = []
-        for kind, start, end, _, names in self.spans(text):
-            z = self.weights[hashed(names)].sum() + self.weights[BUCKETS]
-            if z > 0:
-                found.append((kind, start, end, float(z)))
-        return resolve(found)
-
-
-def _votes(finder: Finder):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(kind, t[s:e].lower() if kind == "name" else None, list(votes), names, zlib.crc32(t[max(0, s - 30) : e + 9].encode())) for t in batch["text"] for kind, s, e, votes, names in candidates(t, finder.given, finder.endings)]
-            yield pd.DataFrame(rows, columns=["kind", "phrase", "votes", "names", "h"])
-
-    return run
+        for key, times, text in zip(batch["key"], batch["times"], batch["text"]):
+            for kind, start, end, (shape, form, context), names in candidates(text):
+                words = [w.lower() for w in regex.findall(r"[\p{L}'’]+", text[start:end])] if kind == "name" else None
+                out.append((key, times, kind, start, end, text[start:end], shape, form, context, words and " ".join(words), words, hashed(names)))
+        yield pd.DataFrame(out, columns=["key", "times", *columns])
 
 
-def train_finder(browser: DataFrame, given_names: DataFrame) -> Finder:
-    """Reliabilities from the votes on all candidates; the classifier from a bounded sample of them (TRAINING_SPANS for each kind)."""
-    rows = given_names.where("name IS NOT NULL").select(F.lower(F.trim("name"))).distinct().limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} given names")
-    given = frozenset(r[0] for r in rows if r[0])
-    tails: dict[str, int] = {}
-    for name in given:
-        for k in (3, 4, 5):
-            if len(name) > k + 1:
-                tails[name[-k:]] = tails.get(name[-k:], 0) + 1
-    finder = Finder(given, frozenset(t for t, n in tails.items() if n >= max(2, len(given) // 100)))
-    texts = field_texts(browser).select("text")
-    spans = cut(texts.mapInPandas(_votes(finder), "kind string, phrase string, votes array<int>, names array<string>, h bigint"))
-    phrases = spans.where("kind = 'name'").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    total = spans.where("kind = 'name'").count()
-    # At most 1 / COMMON_PHRASE phrases can have that share.
-    finder.common = frozenset(r[0] for r in phrases.where((F.col("n") > COMMON_PHRASE * total) & (F.col("n") >= 20)).select("phrase").collect())
-    frequent = F.coalesce(F.col("phrase").isin(*finder.common), F.lit(False)) if finder.common else F.lit(False)
-    named = F.when(F.col("kind") == "name", F.array(F.concat(F.lit("name|common="), F.when(frequent, "True").otherwise("False")))).otherwise(F.array().cast("array<string>"))
-    spans = spans.withColumn("votes", F.concat("votes", F.array(F.when(frequent, 2).otherwise(0)))).withColumn("names", F.concat("names", named))
-    counted: dict[str, dict[tuple[int, ...], int]] = {k: {} for k in KINDS}
-    for r in spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 3 ** 4 patterns a kind
-        counted[r["kind"]][tuple(r["votes"])] = r["n"]
-    truth = {kind: reliabilities(patterns) for kind, patterns in counted.items()}
-    sample: list[tuple[list[str], float]] = []
-    for kind in KINDS:
-        picked = spans.where(F.col("kind") == kind).orderBy("h").limit(TRAINING_SPANS).collect()
-        sample += [(r["names"], truth[kind][tuple(r["votes"])]) for r in picked]
-    finder.weights = train_classifier(sample)
-    return finder
-
+def _phrases(names: DataFrame, given_names: DataFrame) -> DataFrame:
+    """(phrase, known, like, plain, spread): for every distinct name candidate whether a word of it is a given name or ends like several of them, how many of its words are labels, and how its words combine with others (1 as given names do, 2 not at all).
 
-def _find(finder: Finder):
+    A word's mates are the effective number of phrases it stands in, n squared by the sum of the squares of their counts: near 1 where one phrase has it all. The yardstick is the given names themselves: how many mates they have, and how often one phrase with them stands. A word that stands far more often than that and yet has one mate is of a title or a brand, and so is what begins like it.
+    """
+    given = cut(given_names.where("name IS NOT NULL").select(F.lower(F.trim("name")).alias("word")).where("word <> ''").distinct())
+    n_given = given.count()
+    tails = lambda w: F.array(*(F.right(w, F.lit(k)) for k in (3, 4, 5)))
+    ends = given.select("word", F.explode(tails(F.col("word"))).alias("tail")).where("length(word) > length(tail) + 1").groupBy("tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, n_given // 100)).select("tail")
+    phrases = cut(names.groupBy("phrase").agg(F.sum("times").alias("n"), F.any_value("words").alias("words")))
+    single = phrases.select("phrase", "n", F.explode(F.array_distinct("words")).alias("word"))
+    n = F.col("n").cast("double")
+    words = single.groupBy("word").agg((F.sum(n) * F.sum(n) / F.sum(n * n)).alias("mates"), F.sum("n").alias("often"))
+    words = words.join(given.withColumn("known", F.lit(True)), "word", "left")
+    like = words.select("word", F.explode(tails(F.col("word"))).alias("tail")).join(ends, "tail", "left_semi").select("word").distinct().withColumn("like", F.lit(True))
+    words = words.join(like, "word", "left").select("word", "mates", "often", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("like", F.lit(False)).alias("like"), F.col("word").isin(_PLAIN_WORDS).alias("plain"))
+    words = cut(words)
+    joined = cut(single.join(words, "word"))
+    usual = joined.where("known").agg(F.percentile_approx("mates", 0.5).alias("mates"), F.percentile_approx("n", 0.5).alias("n")).first()
+    fixed = (F.col("mates") <= 1.5) & (F.col("often") > 8 * (usual["n"] or 0)) if usual["n"] else F.lit(False)
+    combines = F.col("known") | (2 * F.col("mates") >= usual["mates"]) if usual["n"] else F.lit(False)
+    judged = joined.groupBy("phrase").agg(F.max("known").alias("known"), F.max("like").alias("like"), F.count_if("plain").alias("plain"), F.max(fixed).alias("fixed"), F.max(combines).alias("combines"))
+    spread = F.when(F.col("known"), 1).when(F.col("fixed"), 2).when(F.col("combines"), 1).otherwise(0)
+    return judged.select("phrase", "known", "like", F.least("plain", F.lit(2)).alias("plain"), spread.alias("spread"))
+
+
+def _voted(spans: DataFrame, given_names: DataFrame) -> DataFrame:
+    """The spans with all votes and, for names, the features that follow from their phrase."""
+    phrases = _phrases(spans.where("kind = 'name'"), given_names)
+    bucket = lambda label, c: F.pmod(F.crc32(F.concat(F.lit(f"name|{label}="), c.cast("string")).cast("binary")), F.lit(BUCKETS)).cast("int")
+    # One observation is one vote: the model takes votes as independent, so a label's against is not cast twice.
+    shape = F.when(F.col("like"), 1).otherwise(0)
+    form = F.when(F.col("known"), 1).when(F.col("plain") > 0, 2).otherwise(0)
+    named = spans.where("kind = 'name'").join(phrases, "phrase")
+    named = named.withColumns({"shape": shape, "form": form})
+    named = named.withColumn("features", F.concat("features", F.array(*(bucket(c, F.col(c)) for c in ("shape", "form", "context", "plain", "known", "like", "spread")))))
+    both = named.drop("known", "like", "plain").unionByName(spans.where("kind <> 'name'").withColumn("spread", F.lit(0)))
+    return both.select("key", "times", "kind", "start", "end", "value", F.array("shape", "form", "context", "spread").alias("votes"), "features")
+
+
+def _decided(weights: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(i, p, f, kind, t[s:e]) for i, p, f, t in zip(batch["traj_id"], batch["step_pos"], batch["field"], batch["text"]) for kind, s, e in finder.find(t)]
-            yield pd.DataFrame(out, columns=["traj_id", "step_pos", "field", "kind", "value"])
+            z = np.array([weights[f].sum() for f in batch["features"]]) + weights[BUCKETS]
+            yield batch.assign(z=z)[["key", "kind", "start", "end", "value", "z"]][z > 0]
 
     return run
 
 
-def _redact(finder: Finder):
-    def one(text: str) -> str:
-        parts, at = [], 0
-        for kind, s, e in finder.find(text):
-            parts += [text[at:s], f"[{kind.upper()}]"]
-            at = e
-        return "".join([*parts, text[at:]])
+def _resolved(spans: pd.Series) -> pd.Series:
+    return spans.map(lambda found: [(k, s, e) for k, s, e in resolve([(f["kind"], f["start"], f["end"], f["z"]) for f in found])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(text=[one(t) for t in batch["text"]])
 
-    return run
+def personal_spans(browser: DataFrame, given_names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places, texts, finds): (traj_id, step_pos, field, key) of all texts, (key, text) of the distinct ones, and (key, found) with an array of (kind, start, end) for those that hold personal values.
 
+    The texts are searched once; what is counted, learned and decided afterwards works on the candidates alone.
+    """
+    key = F.unhex(F.md5("text"))
+    values = field_texts(browser)
+    places = cut(values.select("traj_id", "step_pos", "field", key.alias("key")).distinct())
+    texts = values.select("text").distinct().withColumn("key", key)
+    weighed = texts.where(F.col("text").rlike(_MAYBE)).join(places.groupBy("key").agg(F.count(F.lit(1)).alias("times")), "key")
+    spans = cut(weighed.select("key", "times", "text").mapInPandas(_searched, f"key binary, times bigint, {_SPAN}"))
+    spans = cut(_voted(spans, given_names))
+    counted: dict[str, dict[tuple[int, ...], int]] = {k: {} for k in KINDS}
+    for r in spans.groupBy("kind", "votes").agg(F.sum("times").alias("n")).collect():  # at most 3 ** 4 patterns a kind
+        counted[r["kind"]][tuple(r["votes"])] = r["n"]
+    truth = {kind: reliabilities(patterns) for kind, patterns in counted.items()}
+    first = Window.partitionBy("kind").orderBy(F.xxhash64("features"), "features")
+    picked = spans.select("kind", "votes", "features").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= TRAINING_SPANS).collect()
+    picked.sort(key=lambda r: (r["kind"], r["rn"]))
+    weights = train_classifier([(r["features"], truth[r["kind"]][tuple(r["votes"])]) for r in picked])
+    decided = spans.mapInPandas(_decided(weights), "key binary, kind string, start int, end int, value string, z double")
+    listed = decided.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end", "z")).alias("spans"))
+    resolved = F.pandas_udf(_resolved, "array<struct<kind:string,start:int,end:int>>")
+    return places, texts, listed.select("key", resolved("spans").alias("found"))
 
-def personal_values(browser: DataFrame, given_names: DataFrame, finder: Finder | None = None) -> DataFrame:
+
+def personal_values(browser: DataFrame, given_names: DataFrame) -> DataFrame:
     """(traj_id, step_pos, field, kind, value): every personal value of thoughts, outputs and typed texts, exactly as it stands.
 
-    Labelers by shape, gazetteer and context vote on each candidate; expectation-maximisation over all candidates estimates how far each can be trusted; its labels train a logistic span classifier, which decides; of overlapping finds the longest stays. Null and empty texts and null ids give no row; a value that stands several times in one field gives one row; rows stored twice give theirs once; an empty table or gazetteer gives no error; other columns are not read. Texts are read whole.
+    Labelers by shape, form and gazetteer, context, and, for names, by how words combine over all rows vote on each candidate; expectation-maximisation over all candidates estimates how far each can be trusted; its labels train a logistic span classifier, which decides; of overlapping finds the longest stays. Null and empty texts and null ids give no row; a value that stands several times in one field gives one row; rows stored twice give theirs once and copied texts are searched once; an empty table or gazetteer gives no error, and a gazetteer of any size is joined, not collected; other columns are not read. Texts are read whole.
     """
-    finder = finder or train_finder(browser, given_names)
-    return field_texts(browser).mapInPandas(_find(finder), "traj_id bigint, step_pos bigint, field string, kind string, value string").distinct()
+    places, texts, finds = personal_spans(browser, given_names)
+    f = F.col("f")
+    values = finds.join(texts, "key").select("key", "text", F.explode("found").alias("f")).select("key", f["kind"].alias("kind"), F.substring("text", f["start"] + 1, f["end"] - f["start"]).alias("value")).distinct()
+    return places.join(values, "key").select("traj_id", "step_pos", "field", "kind", "value")
+
+
+def _redacted(text: pd.Series, found: pd.Series) -> pd.Series:
+    out = []
+    for t, spans in zip(text, found):
+        parts, at = [], 0
+        for f in spans if spans is not None else ():
+            parts += [t[at : f["start"]], f"[{f['kind'].upper()}]"]
+            at = f["end"]
+        out.append("".join([*parts, t[at:]]))
+    return pd.Series(out)
 
 
-def redacted_texts(browser: DataFrame, given_names: DataFrame, finder: Finder | None = None) -> DataFrame:
+def redacted_texts(browser: DataFrame, given_names: DataFrame) -> DataFrame:
     """(traj_id, step_pos, field, text): the same texts with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME] in place of the values; else as in ``personal_values``."""
-    finder = finder or train_finder(browser, given_names)
-    return field_texts(browser).mapInPandas(_redact(finder), "traj_id bigint, step_pos bigint, field string, text string").distinct()
+    places, texts, finds = personal_spans(browser, given_names)
+    redacted = F.pandas_udf(_redacted, "string")
+    whole = texts.join(finds, "key", "left").select("key", F.when(F.col("found").isNull(), F.col("text")).otherwise(redacted("text", "found")).alias("text"))
+    return places.join(whole, "key").select("traj_id", "step_pos", "field", "text").distinct()

@@ -225,13 +225,12 @@ def test_personal_values_and_placeholders(spark):
         ("Quick Start Guide and Release Notes are linked. Install pkg@8.4.0 from @lampfeld.", set()),
     ]
     df = browser(spark, [t for t, _ in cases] * 6)
-    finder = personal.train_finder(df, names)
     got = defaultdict(set)
-    for r in personal.personal_values(df, names, finder).collect():
+    for r in personal.personal_values(df, names).collect():
         got[r.traj_id].add((r.kind, r.value))
     for i, (_, want) in enumerate(cases):
         assert got[i] == want
-    red = {r.traj_id: r.text for r in personal.redacted_texts(df, names, finder).collect()}
+    red = {r.traj_id: r.text for r in personal.redacted_texts(df, names).collect()}
     assert red[0] == "Contact person: [NAME]. Write to [EMAIL] now."
 
 
