@@ -9,38 +9,49 @@ from pyspark.sql import functions as F
 
 from stepweave.runtime import cut
 
-#: Row ids of one log that are linked inside one task. Ids are 32-bit integers, so a log has at most 2**32 / CHUNK chunks, however many rows it has.
-CHUNK = 1024
+#: Row ids of one log whose pointers are read in one task. Ids are 32-bit integers, so a log has at most 2**32 / PART parts, however many rows it has.
+PART = 65_536
+#: Row ids that are contracted to one node before the jumps (see the README for what that saves); 1 makes every row a node.
+CHUNK = 16
+#: The parent of a row that has none in its log though it needs one.
+MISSING = -(2**62)
 
 _BLANK = r"(?U)^\s*$"
 _EQUAL_BUT = ("log_id", "id", "source", "action", "observation", "args", "content", "thought", "timestamp", "extras")
 
 
-def pointer_jump(nodes: DataFrame, keys: Sequence[str], node: str, parent: str, acc: str, combine: Callable[[Column, Column], Column], longest: int | None = None) -> DataFrame:
+def pointer_jump(nodes: DataFrame, keys: Sequence[str], node: str, parent: str, acc: str, combine: Callable[[Column, Column], Column]) -> DataFrame:
     """Follows parent pointers to the roots, doubling the distance in each round.
 
-    ``nodes`` has one row for each ``keys`` and ``node``; ``parent`` is null at a root; ``acc`` is a struct, and ``combine(earlier, later)`` must be associative. Returned are the rows with ``acc`` of the whole path from the root and ``status``: ``ok``, ``orphan`` (the path ends at a parent that isn't there) or ``cycle``. ``longest`` bounds the nodes of a path (default: all rows of ``nodes``); paths that haven't ended after log2 of it rounds are cycles. Null keys join nothing: such rows come back as orphans unless they are roots. Each round joins only what hasn't ended with what it points to, and is cut.
+    ``nodes`` has one row for each ``keys`` and ``node``; ``parent`` is null at a root; ``acc`` is a struct, and ``combine(earlier, later)`` must be associative. Returned are the rows with ``acc`` of the whole path from the root and ``status``: ``ok``, ``orphan`` (the path ends at a parent that isn't there) or ``cycle`` (it hasn't ended when it is longer than its keys have nodes). Null nodes are nobody's parent; null keys join nothing: such rows are orphans unless they are roots. Keys with n nodes take part in the first log2(n) + 1 rounds alone, so a long path costs rounds for itself only; every round is cut.
     """
     plain = [c for c in nodes.columns if c not in (parent, acc)]
-    state = cut(nodes.withColumn("__to", F.col(parent)).withColumn("status", F.when(F.col("__to").isNull(), "ok")))
-    if longest is None:
-        longest = state.count()
-    for _ in range(max(1, longest).bit_length()):
+    sizes = nodes.groupBy(*keys).agg(F.ceil(F.log2(F.count(F.lit(1)).cast("double") + 1)).cast("int").alias("__rounds"))
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    state = nodes.join(sizes.select(*named, "__rounds"), same).drop(*(f"__{k}" for k in keys))
+    state = cut(state.withColumn("__to", F.col(parent)).withColumn("status", F.when(F.col("__to").isNull(), "ok")))
+    most = state.agg(F.max("__rounds")).first()[0] or 0
+    columns, done = [*plain, parent, acc, "status"], []
+    for turn in range(1, most + 1):
         waiting = state.where("status IS NULL")
-        if waiting.isEmpty():
-            break
-        ahead = state.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(node).alias("__node"), F.col("__to").alias("__next"), F.col(acc).alias("__acc"), F.col("status").alias("__status"))
-        on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__to") == F.col("__node")]
+        ahead = state.select(*named, F.col(node).alias("__node"), F.col("__to").alias("__next"), F.col(acc).alias("__acc"), F.col("status").alias("__status"))
         found = F.col("__node").isNotNull()
-        moved = waiting.join(ahead, on, "left").select(
+        moved = waiting.join(ahead, [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__to") == F.col("__node")], "left").select(
             *plain,
             parent,
             F.when(found, combine(F.col("__acc"), F.col(acc))).otherwise(F.col(acc)).alias(acc),
+            "__rounds",
             F.when(found, F.col("__next")).otherwise(F.col("__to")).alias("__to"),
             F.when(~found, "orphan").otherwise(F.col("__status")).alias("status"),
         )
         state = cut(state.where("status IS NOT NULL").select(*moved.columns).unionByName(moved))
-    return state.select(*plain, parent, acc, F.coalesce("status", F.lit("cycle")).alias("status"))
+        done.append(state.where(F.col("__rounds") <= turn).select(*columns))
+        state = state.where(F.col("__rounds") > turn)
+    out = state.select(*columns)
+    for part in done:
+        out = out.unionByName(part)
+    return out.withColumn("status", F.coalesce("status", F.lit("cycle")))
 
 
 def message_rows(messages: DataFrame, texts: bool = False) -> DataFrame:
@@ -56,22 +67,29 @@ def message_rows(messages: DataFrame, texts: bool = False) -> DataFrame:
     action, observation = spoken(F.col("action")), spoken(F.col("observation"))
     says = F.coalesce((speaker.isin("user", "agent")) & (trimmed(F.col("action")) == "message") & text.isNotNull(), F.lit(False))
     row = messages.where("log_id IS NOT NULL").select("log_id", "id", same.alias("same"), F.struct(speaker.alias("speaker"), trimmed(action).alias("action"), trimmed(observation).alias("observation"), says.alias("says"), *([text.alias("text")] if texts else [])).alias("r"))
-    grouped = row.groupBy("log_id", "id").agg((F.min("same") != F.max("same")).alias("shared"), F.min_by("r", "same").alias("r"))
-    return grouped.select("log_id", "id", "shared", "r.*").withColumn("chunk", F.coalesce(F.floor(F.col("id") / CHUNK), F.lit(-(2**40))))
+    grouped = row.groupBy("log_id", "id").agg((F.min("same") != F.max("same")).alias("shared"), F.max("r.says").alias("said"), F.min_by("r", "same").alias("r"))
+    return grouped.select("log_id", F.col("id").cast("bigint").alias("id"), "shared", "said", "r.*")
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    """Parent pointers inside the chunks: each row gets the row before it, and its turn of the user."""
-    w = Window.partitionBy("log_id", "chunk").orderBy("id")
+    """Adds ``up``, the id of each row's parent, and its place: part, chunk, first in its chunk, turn of the user inside it.
+
+    The parent is the row before; an observation has one only if that is the agent's action of its name. An observation without it, a row with neither action nor observation and a row without an id point at MISSING; rows that share an id stand for each other and point at themselves; the first row is the root.
+    """
+    place = lambda n: F.coalesce(F.floor(F.col("id") / n), F.lit(-(2**40)))
+    rows = rows.withColumn("part", place(PART)).withColumn("chunk", place(CHUNK))
+    w = Window.partitionBy("log_id", "part").orderBy("id")
+    own = F.struct("id", "speaker", "action")
+    inside = rows.withColumn("before", F.lag(own).over(w))
+    # The first row of a part follows the last row of the part before.
+    lasts = rows.groupBy("log_id", "part").agg(F.max_by(own, "id").alias("last"))
+    lasts = lasts.withColumn("before_part", F.lag("last").over(Window.partitionBy("log_id").orderBy("part"))).select("log_id", "part", "before_part")
+    rows = inside.join(lasts, ["log_id", "part"]).withColumn("before", F.coalesce("before", F.when(F.col("id").isNotNull(), F.col("before_part")))).drop("before_part")
+    stray = F.col("id").isNull() | (F.col("action").isNull() & F.col("observation").isNull()) | (F.col("observation").isNotNull() & ~_answers(F.col("before"), F.col("observation")))
+    up = F.when(F.col("shared"), F.col("id")).when(stray, F.lit(MISSING)).otherwise(F.col("before.id"))
+    c = Window.partitionBy("log_id", "part", "chunk").orderBy("id")
     user = ((F.col("speaker") == "user") & (F.col("action") == "message")).eqNullSafe(True)
-    return (
-        rows.withColumn("before", F.lag(F.struct("speaker", "action")).over(w))
-        .withColumn("first_here", F.row_number().over(w) == 1)
-        .withColumn("last_here", F.lead(F.lit(True)).over(w).isNull())
-        .withColumn("is_user", user)
-        .withColumn("is_agent", (F.col("speaker") == "agent").eqNullSafe(True))
-        .withColumn("turn", F.sum(user.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    )
+    return rows.withColumn("up", up).withColumn("is_agent", (F.col("speaker") == "agent").eqNullSafe(True)).withColumn("turn", F.sum(user.cast("int")).over(c.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _answers(before: Column, observation: Column) -> Column:
@@ -79,22 +97,16 @@ def _answers(before: Column, observation: Column) -> Column:
     return ((before["speaker"] == "agent") & (before["action"] == observation)).eqNullSafe(True)
 
 
-_ACC = "struct<n:bigint, root:bigint, says:boolean, first_says:string, wrong:boolean, first_observation:string, last:struct<speaker:string,action:string>, users:boolean, pre_any:boolean, pre_says:boolean, post_any:boolean, post_says:boolean, unanswered:boolean>"
+_ACC = "struct<n:bigint, first_says:string, users:boolean, pre_any:boolean, pre_says:boolean, post_any:boolean, post_says:boolean, unanswered:boolean>"
 
 
 def _combine(a: Column, b: Column) -> Column:
     """The summary of two adjoining parts of a log."""
-    orphan = b["first_observation"].isNotNull() & ~_answers(a["last"], b["first_observation"])
     both = a["users"] & b["users"]
     gap_any, gap_says = a["post_any"] | b["pre_any"], a["post_says"] | b["pre_says"]
     return F.struct(
         (a["n"] + b["n"]).alias("n"),
-        a["root"].alias("root"),
-        (a["says"] | b["says"]).alias("says"),
         F.coalesce(a["first_says"], b["first_says"]).alias("first_says"),
-        (a["wrong"] | b["wrong"] | orphan).alias("wrong"),
-        a["first_observation"].alias("first_observation"),
-        b["last"].alias("last"),
         (a["users"] | b["users"]).alias("users"),
         F.when(a["users"], a["pre_any"]).otherwise(a["pre_any"] | b["pre_any"]).alias("pre_any"),
         F.when(a["users"], a["pre_says"]).otherwise(a["pre_says"] | b["pre_says"]).alias("pre_says"),
@@ -104,37 +116,31 @@ def _combine(a: Column, b: Column) -> Column:
     ).cast(_ACC)
 
 
-def log_chunks(rows: DataFrame) -> DataFrame:
-    """(log_id, chunk, acc, status): the summary of each log from its root up to the end of each chunk, and of the chunk by itself (``own``).
+def log_nodes(rows: DataFrame) -> DataFrame:
+    """(log_id, chunk, own_n, acc, status): each node's path from the root of its log, its summary and how it ends.
 
-    Inside a chunk the pointers are resolved by windows, which contracts it to one node; the nodes of a log are then resolved by pointer jumping.
+    A chunk of CHUNK ids whose rows all follow each other is one node, whose parent is the chunk of its first row's parent; if a pointer in it leads nowhere or to itself, so does the node's.
     """
     linked = _linked(rows)
-    orphan = (F.col("observation").isNotNull() & ~F.col("first_here") & ~_answers(F.col("before"), F.col("observation"))) | (F.col("action").isNull() & F.col("observation").isNull())
-    agent_says = F.col("is_agent") & F.col("says")
-    turns = linked.groupBy("log_id", "chunk", "turn").agg(
+    turns = linked.groupBy("log_id", "part", "chunk", "turn").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("id").cast("bigint").alias("root"),
-        F.max("says").alias("says"),
         F.min_by("speaker", F.when(F.col("says"), F.col("id"))).alias("first_says"),
-        F.max(orphan | F.col("shared") | F.col("id").isNull()).alias("wrong"),
-        F.max(F.when(F.col("first_here"), F.col("observation"))).alias("first_observation"),
-        F.max(F.when(F.col("last_here"), F.struct("speaker", "action"))).alias("last"),
+        F.max((F.col("up") == MISSING).eqNullSafe(True)).alias("missing"),
+        F.max((F.col("up") == F.col("id")).eqNullSafe(True)).alias("itself"),
+        F.min(F.floor(F.col("up") / CHUNK)).alias("first_up"),
         F.max("is_agent").alias("any"),
-        F.max(agent_says).alias("reply"),
+        F.max(F.col("is_agent") & F.col("says")).alias("reply"),
     )
     last = F.max(F.struct("turn", "any", "reply"))
     first_turn = F.col("turn") == 0
     own = (
-        turns.groupBy("log_id", "chunk")
+        turns.groupBy("log_id", "part", "chunk")
         .agg(
             F.sum("n").alias("n"),
-            F.min("root").alias("root"),
-            F.max("says").alias("says"),
             F.min_by("first_says", F.when(F.col("first_says").isNotNull(), F.col("turn"))).alias("first_says"),
-            F.max("wrong").alias("wrong"),
-            F.max("first_observation").alias("first_observation"),
-            F.max("last").alias("last"),
+            F.max("missing").alias("missing"),
+            F.max("itself").alias("itself"),
+            F.min("first_up").alias("first_up"),
             (F.max("turn") > 0).alias("users"),
             F.coalesce(F.max(F.when(first_turn, F.col("any"))), F.lit(False)).alias("pre_any"),
             F.coalesce(F.max(F.when(first_turn, F.col("reply"))), F.lit(False)).alias("pre_says"),
@@ -145,33 +151,32 @@ def log_chunks(rows: DataFrame) -> DataFrame:
         )
         .withColumn("unanswered", F.col("bad") > F.col("bad_last"))
     )
-    names = [p.split(":")[0].strip() for p in ("n root says first_says wrong first_observation last users pre_any pre_says post_any post_says unanswered").split()]
-    chain = Window.partitionBy("log_id").orderBy("chunk")
-    nodes = own.select("log_id", "chunk", F.struct(*names).cast(_ACC).alias("acc")).withColumn("own_n", F.col("acc.n")).withColumn("up", F.lag("chunk").over(chain))
-    nodes = cut(nodes.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("log_id"))))
-    longest = nodes.agg(F.max("size")).first()[0] or 1
-    long_logs = pointer_jump(nodes.where("size > 1"), ["log_id"], "chunk", "up", "acc", _combine, longest)
-    return nodes.where("size = 1").withColumn("status", F.lit("ok")).unionByName(long_logs).select("log_id", "chunk", "own_n", "acc", "status")
+    up = F.when(F.col("itself"), F.col("chunk")).when(F.col("missing"), F.lit(MISSING)).when(F.col("first_up") < F.col("chunk"), F.col("first_up"))
+    names = ("n", "first_says", "users", "pre_any", "pre_says", "post_any", "post_says", "unanswered")
+    nodes = own.select("log_id", "chunk", F.col("n").alias("own_n"), F.struct(*names).cast(_ACC).alias("acc"), up.alias("up"))
+    return pointer_jump(nodes, ["log_id"], "chunk", "up", "acc", _combine).drop("up")
 
 
-def _defects(chunks: DataFrame) -> DataFrame:
+def _defects(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(log_id, defect) with a null defect for logs that are whole."""
-    leaf = chunks.groupBy("log_id").agg(F.max_by("acc", "chunk").alias("a"), F.max(F.col("status") != "ok").alias("lost"))
+    leaf = nodes.groupBy("log_id").agg(F.max_by("acc", "chunk").alias("a"), F.max(F.col("status") != "ok").alias("lost"))
+    said = rows.groupBy("log_id").agg(F.max("said").alias("said"))
     a = F.col("a")
     defect = (
-        F.when(~a["says"], "empty")
-        .when(F.col("lost") | a["wrong"] | a["first_observation"].isNotNull() | (a["first_says"] == "agent"), "broken")
+        F.when(~F.col("said"), "empty")
+        .when(F.col("lost") | (a["first_says"] == "agent").eqNullSafe(True), "broken")
         .when(a["unanswered"] | (a["users"] & ~a["post_says"]), "no_reply")
     )
-    return leaf.select("log_id", defect.alias("defect"))
+    return leaf.join(said, "log_id").select("log_id", defect.alias("defect"))
 
 
 def left_out_logs(messages: DataFrame) -> DataFrame:
     """(log_id, defect): a row for each log to be left out, with the first defect of ``empty``, ``broken``, ``no_reply``.
 
-    Rows with a null ``log_id`` belong to no log and are not counted; a null ``id`` has no place and breaks its log; null or unreadable texts say nothing; rows delivered twice count once; an empty table gives no row; columns beyond the table's own are not read. A log of any length is linked in chunks of CHUNK ids.
+    Rows with a null ``log_id`` belong to no log and are not counted; a null ``id`` has no place and breaks its log; null or unreadable texts say nothing; rows delivered twice count once; an empty table gives no row; columns beyond the table's own are not read. Every log is resolved by its parent pointers (see ``_linked``): a path that ends in an orphan or runs into a cycle breaks its log.
     """
-    return _defects(log_chunks(message_rows(messages))).where("defect IS NOT NULL")
+    rows = cut(message_rows(messages))
+    return _defects(rows, log_nodes(rows)).where("defect IS NOT NULL")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -180,10 +185,11 @@ def conversations(messages: DataFrame) -> DataFrame:
     ``role`` is user, agent, system or tool; an observation is the tool's. Nulls and repeats as in ``left_out_logs``.
     """
     rows = cut(message_rows(messages, texts=True))
-    chunks = cut(log_chunks(rows.drop("text")))
-    whole = _defects(chunks).where("defect IS NULL").select("log_id")
-    starts = chunks.join(whole, "log_id").select("log_id", "chunk", (F.col("acc.n") - F.col("own_n")).alias("start"))
+    nodes = cut(log_nodes(rows.drop("text")))
+    whole = _defects(rows, nodes).where("defect IS NULL").select("log_id")
+    starts = nodes.join(whole, "log_id").select("log_id", "chunk", (F.col("acc.n") - F.col("own_n")).alias("start"))
     inside = Window.partitionBy("log_id", "chunk").orderBy("id")
+    rows = rows.withColumn("chunk", F.floor(F.col("id") / CHUNK))
     tool = F.col("observation").isNotNull()
     return rows.join(starts, ["log_id", "chunk"]).select(
         "log_id",

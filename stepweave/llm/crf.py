@@ -27,10 +27,9 @@ def features(word: str) -> list[int]:
     elif _CYRILLIC.match(word):
         names.append("script=cyrillic")
     names += [f"l={k}" for k, words in LEXICON.items() if word in words]
-    short = word if len(word) <= 40 else word[:20] + word[-20:]
-    names += [f"p{n}={short[:n]}" for n in (1, 2, 3) if len(short) > n]
-    names += [f"s{n}={short[-n:]}" for n in (1, 2, 3, 4) if len(short) > n]
-    edged = f"^{short}$"
+    names += [f"p{n}={word[:n]}" for n in (1, 2, 3) if len(word) > n]
+    names += [f"s{n}={word[-n:]}" for n in (1, 2, 3, 4) if len(word) > n]
+    edged = f"^{word}$"
     names += [f"g={edged[i:i + n]}" for n in (2, 3) for i in range(len(edged) - n + 1)]
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
@@ -68,21 +67,25 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def forward_backward(scores: np.ndarray, border: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of padded sequences: log partition, forward and backward scores. ``border[b, t]`` is 1 where word t begins a sentence."""
+    """Of padded sequences in ascending order of ``lengths``: log partition, forward and backward scores. ``border[b, t]`` is 1 where word t begins a sentence."""
     n, steps, _ = scores.shape
     ahead, back = np.zeros_like(scores), np.zeros_like(scores)
     ahead[:, 0] = scores[:, 0]
+    first = np.searchsorted(lengths, np.arange(steps), side="right")  # from here on the sequences have a word t
     for t in range(1, steps):
-        live = t < lengths
-        if live.any():
-            ahead[live, t] = _log_sum(ahead[live, t - 1][:, :, None] + moves[border[live, t]], 1) + scores[live, t]
+        k = first[t]
+        ahead[k:, t] = _log_sum(ahead[k:, t - 1][:, :, None] + moves[border[k:, t]], 1) + scores[k:, t]
     for t in range(steps - 2, -1, -1):
-        live = t + 1 < lengths
-        if live.any():
-            back[live, t] = _log_sum(moves[border[live, t + 1]] + (scores[live, t + 1] + back[live, t + 1])[:, None, :], 2)
+        k = first[t + 1]
+        back[k:, t] = _log_sum(moves[border[k:, t + 1]] + (scores[k:, t + 1] + back[k:, t + 1])[:, None, :], 2)
     return _log_sum(ahead[np.arange(n), lengths - 1], 1), ahead, back
 
 
+def _summed(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by key from 0 to n - 1."""
+    return np.stack([np.bincount(keys, rows[:, k], n) for k in range(rows.shape[1])], 1).astype(np.float32)
+
+
 def train(texts: Sequence[Sequence[tuple[list[str], str]]], epochs: int = 6, batch: int = 128, rate: float = 0.3, seed: int = 7) -> Crf:
     """Texts are lists of (words of a sentence, its language); weights by AdaGrad on the conditional likelihood."""
     model, rng = Crf(), np.random.default_rng(seed)
@@ -96,35 +99,37 @@ def train(texts: Sequence[Sequence[tuple[list[str], str]]], epochs: int = 6, bat
             data.append((np.array(ids), np.array(labels), np.array(starts)))
     if not data:
         return model
-    flat = [features(w) for w in vocabulary]
+    flat = [np.array(features(w)) for w in vocabulary]
     sizes = np.array([len(x) for x in flat])
-    columns, at = np.concatenate([np.array(x) for x in flat]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owner = np.repeat(np.arange(len(flat)), sizes)
     square_w, square_m = np.full_like(model.weights, 1e-6), np.full_like(model.moves, 1e-6)
     eye = np.eye(len(LANGUAGES), dtype=np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(data))
         for k in range(0, len(order), batch):
-            part = [data[i] for i in order[k : k + batch]]
+            part = sorted((data[i] for i in order[k : k + batch]), key=lambda x: len(x[0]))
             lengths = np.array([len(x[0]) for x in part])
             ids, labels, starts = (_pad(lengths, np.concatenate([x[j] for x in part])) for j in range(3))
-            emission = np.add.reduceat(model.weights[columns], at, axis=0)
+            # Only the words at hand are scored and move the weights.
+            here, ids = np.unique(ids, return_inverse=True)
+            ids = ids.reshape(labels.shape)
+            own = np.concatenate([flat[w] for w in here])
+            width = sizes[here]
+            emission = np.add.reduceat(model.weights[own], np.concatenate([[0], np.cumsum(width)[:-1]]), axis=0)
             scores = emission[ids]
             total, ahead, back = forward_backward(scores, starts, lengths, model.moves)
             real = np.arange(ids.shape[1])[None, :] < lengths[:, None]
             marginal = np.exp(ahead + back - total[:, None, None])
-            wrong = (eye[labels] - marginal) * real[:, :, None]
-            by_word = np.zeros_like(emission)
-            np.add.at(by_word, ids[real], wrong[real])
-            grad = np.zeros_like(model.weights)
-            np.add.at(grad, columns, by_word[owner])
+            wrong = (eye[labels] - marginal)[real]
+            by_word = _summed(ids[real], wrong, len(here))
+            grad = _summed(own, by_word[np.repeat(np.arange(len(here)), width)], BUCKETS)
             move = np.zeros_like(model.moves)
+            first = np.searchsorted(lengths, np.arange(ids.shape[1]), side="right")
             for t in range(1, ids.shape[1]):
-                live = t < lengths
-                if not live.any():
-                    break
+                live = slice(first[t], None)
                 pair = np.exp(ahead[live, t - 1][:, :, None] + model.moves[starts[live, t]] + (scores[live, t] + back[live, t])[:, None, :] - total[live][:, None, None])
-                np.add.at(move, starts[live, t], eye[labels[live, t - 1]][:, :, None] * eye[labels[live, t]][:, None, :] - pair)
+                seen = eye[labels[live, t - 1]][:, :, None] * eye[labels[live, t]][:, None, :] - pair
+                for b in (0, 1):
+                    move[b] += seen[starts[live, t] == b].sum(0)
             grad, move = grad / len(part) - 1e-5 * model.weights, move / len(part) - 1e-4 * model.moves
             square_w += grad**2
             square_m += move**2
@@ -142,18 +147,23 @@ def label(model: Crf, score, texts: Iterable[list[list[str]]]) -> list[list[tupl
     while order:
         # Texts of like length together, so that one long text doesn't pad many short ones.
         top = int(lengths[order[-1]])
-        take = max(1, min(256, 2_000_000 // (top * len(LANGUAGES))))
+        take = max(1, min(1024, 2_000_000 // (top * len(LANGUAGES))))
         part, order = order[-take:], order[:-take]
         size = lengths[part]
         rows = np.array([score(w) for i in part for s in texts[i] for w in s], np.float32)
-        starts = np.array([int(j == 0) for i in part for s in texts[i] for j in range(len(s))])
+        spans = [len(s) for i in part for s in texts[i]]
+        at = np.concatenate([[0], np.cumsum(spans)[:-1]])
+        starts = np.zeros(len(rows), np.int64)
+        starts[at] = 1
         total, ahead, back = forward_backward(_pad(size, rows), _pad(size, starts), size, model.moves)
-        for b, i in enumerate(part):
-            probability = np.exp(ahead[b, : size[b]] + back[b, : size[b]] - total[b])
-            emission, at = rows[int(size[:b].sum()) : int(size[: b + 1].sum())], 0
-            for s in texts[i]:
-                mean, own = probability[at : at + len(s)].mean(0), emission[at : at + len(s)].sum(0)
-                best = int(mean.argmax())
-                out[i].append((LANGUAGES[best], float(mean[best]), float(own[best] - np.delete(own, best).max())))
-                at += len(s)
+        real = np.arange(ahead.shape[1])[None, :] < size[:, None]
+        probability = np.exp(ahead + back - total[:, None, None])[real]
+        mean, own = np.add.reduceat(probability, at, axis=0) / np.array(spans)[:, None], np.add.reduceat(rows, at, axis=0)
+        best = mean.argmax(1)
+        pick = np.arange(len(at))
+        mine = own[pick, best]
+        own[pick, best] = -np.inf
+        judged = zip(best.tolist(), mean[pick, best].tolist(), (mine - own.max(1)).tolist())
+        for i in part:
+            out[i] = [(LANGUAGES[k], p, lead) for k, p, lead in (next(judged) for _ in texts[i])]
     return out

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.llm import crf, langs
@@ -21,10 +21,11 @@ LEAST_WORDS = 2
 #: Log odds by which a sentence's own words must favour its language before it breaks a run.
 LEAST_LEAD = 2.0
 
-_TAG = re.compile(r"<[^<>]{0,400}>|&#?\w{1,8};")
+_TAG = re.compile(r"<[^<>]*>|&#?\w{1,8};")
 _NOISE = re.compile(r"https?://\S+|www\.\S+|(?<!\S)[^\s@]+@\S+\.\S+|[#@]\w+")
 _BORDER = re.compile(r"[.!?…。！？；\n\r]+|\s[/|•·—–-]\s|[|•]")
 _PIECE = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+(?:['’][^\W\d_㐀-䶿一-鿿]+)*")
+_JOINT = re.compile(r"['’]")
 
 
 def _blank(m: re.Match) -> str:
@@ -35,8 +36,11 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words in lower case) of the sentences that have words; markup, addresses and handles are passed over. Han text goes by character."""
     clean = _NOISE.sub(_blank, _TAG.sub(_blank, text))
     out, at = [], 0
+    joined = "'" in clean or "’" in clean
     for stop, nxt in [(m.start(), m.end()) for m in _BORDER.finditer(clean)] + [(len(clean), len(clean))]:
-        words = [p for w in _PIECE.findall(clean[at:stop]) for p in re.split(r"['’]", w.lower()) if p]
+        words = _PIECE.findall(clean[at:stop].lower())
+        if joined:
+            words = [p for w in words for p in _JOINT.split(w) if p]
         if words:
             out.append((at, stop, words))
         at = nxt
@@ -75,12 +79,13 @@ def train_model(documents: DataFrame, limit: int = TRAINING_DOCUMENTS) -> crf.Cr
     code = F.create_map(*(F.lit(x) for pair in named.items() for x in pair))
     rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").select(F.try_element_at(code, base).alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h")).where("lang IS NOT NULL")
     share = limit // len(langs.LANGUAGES)
+    # A bounded sample in one reading: of each language twice its share, so that rows stored twice don't count twice, and of each text no more than the words that may train.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = rows.withColumn("rn", first).where(F.col("rn") <= 2 * share).select("lang", "h", F.substring("text", 1, 12 * TRAINING_WORDS).alias("text")).collect()
     chosen: list[tuple[str, str]] = []
     for lang in langs.LANGUAGES:
-        # A bounded sample: of each text no more than the words that may train.
-        picked = rows.where(F.col("lang") == lang).orderBy("h").limit(2 * share).select("h", F.substring("text", 1, 12 * TRAINING_WORDS)).collect()
-        # Twice as many are taken, so that rows stored twice don't count twice.
-        chosen += [(text, lang) for text in list({r[0]: r[1] for r in picked}.values())[:share]]
+        own = dict(sorted((r["h"], r["text"]) for r in picked if r["lang"] == lang))
+        chosen += [(text, lang) for text in list(own.values())[:share]]
     return crf.train(training_texts(chosen))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +25,20 @@ _PLACEHOLDERS = {"", "n/a", "na", "null", "none", "nil", "nan", "undefined", "tb
 # Phrases that decline, by language.
 _REFUSALS = [
     r"\bi(?:'m| am) sorry,? but i (?:can(?:'t|not)|am unable)", r"\b(?:am|are|'m|'re) (?:not able|unable) to (?:assist|help|do|complete|work|fulfil|process|handle)", r"\bi (?:can(?:'t|not)|won't|will not) (?:help|assist|do that|do this|comply|be able|complete|fulfil|work on)",
-    r"\bi(?:'d| would) rather not\b", r"\bi (?:have|need|must) to? ?(?:decline|refuse)\b", r"\bi (?:must )?(?:decline|refuse)\b", r"\bsomething i can(?:'t|not) do\b", r"\bwon't be able to\b", r"\bagainst my (?:guidelines|policy|policies|rules)\b", r"\bas an? (?:ai|assistant|language model)\b[^.]{0,200}\b(?:can(?:'t|not)|decline|unable|refuse|not)\b", r"\bask someone else\b",
-    r"\b(?:leider )?(?:ablehnen|verweigern)\b", r"\bkann ich (?:ihnen |dir |euch )?(?:leider |dabei )?nicht (?:helfen|weiterhelfen|tun|bearbeiten|ausführen)", r"\b(?:dabei|damit) kann ich (?:leider )?nicht", r"\bdarf ich (?:so etwas |das |dies )?nicht", r"\btut mir leid\b", r"\bich kann (?:das|dies|diese|ihnen|dir)[^.]{0,200}\bnicht\b",
-    r"\bje (?:suis désolée?|regrette)\b", r"\bje ne (?:peux|pourrai|suis)[^.]{0,200}\b(?:pas)\b[^.]{0,200}\b(?:aider|traiter|faire|répondre|réaliser|accepter|mesure|autorisée?|modifier)", r"\b(?:malheureusement )?refuser\b", r"\bne (?:peux|puis) pas (?:vous )?aider", r"\bpas (?:autorisée?|en mesure)\b",
+    r"\bi(?:'d| would) rather not\b", r"\bi (?:have|need|must) to? ?(?:decline|refuse)\b", r"\bi (?:must )?(?:decline|refuse)\b", r"\bsomething i can(?:'t|not) do\b", r"\bwon't be able to\b", r"\bagainst my (?:guidelines|policy|policies|rules)\b", r"\bask someone else\b",
+    r"\b(?:leider )?(?:ablehnen|verweigern)\b", r"\bkann ich (?:ihnen |dir |euch )?(?:leider |dabei )?nicht (?:helfen|weiterhelfen|tun|bearbeiten|ausführen)", r"\b(?:dabei|damit) kann ich (?:leider )?nicht", r"\bdarf ich (?:so etwas |das |dies )?nicht", r"\btut mir leid\b",
+    r"\bje (?:suis désolée?|regrette)\b", r"\b(?:malheureusement )?refuser\b", r"\bne (?:peux|puis) pas (?:vous )?aider", r"\bpas (?:autorisée?|en mesure)\b",
     r"\blo siento\b", r"\bno puedo (?:ayudar|hacer|atender|realizar|aceptar|modificar|tratar)", r"\b(?:tengo que|debo) (?:rechazar|negarme|declinar)", r"\brechazar esta\b", r"\bno (?:me está permitido|estoy autorizad[oa])\b",
-    r"\bmi dispiace\b", r"\bnon posso (?:aiutar|fare|svolgere)", r"\bdevo rifiutare\b", r"\bnão posso (?:ajudar|fazer)", r"\bsinto muito\b", r"\btenho de recusar\b", r"\bhet spijt me\b", r"\bik kan (?:je|u|hier|dit)[^.]{0,200}\bniet\b", r"\bк сожалению\b", r"\bне могу\b",
+    r"\bmi dispiace\b", r"\bnon posso (?:aiutar|fare|svolgere)", r"\bdevo rifiutare\b", r"\bnão posso (?:ajudar|fazer)", r"\bsinto muito\b", r"\btenho de recusar\b", r"\bhet spijt me\b", r"\bк сожалению\b", r"\bне могу\b",
     r"抱歉|很遗憾|对不起", r"无法(?:帮助|完成|协助|处理|提供|回答)", r"不能(?:处理|帮助|协助|完成|提供|修改)", r"不便(?:修改|处理|回答|协助|提供)", r"(?:请联系|请找)(?:其他|别)人",
 ]
+# The same in parts that follow each other within a sentence.
+_REFUSALS_IN_PARTS = [
+    (r"\bas an? (?:ai|assistant|language model)\b", r"\b(?:can(?:'t|not)|decline|unable|refuse|not)\b"),
+    (r"\bich kann (?:das|dies|diese|ihnen|dir)", r"\bnicht\b"),
+    (r"\bje ne (?:peux|pourrai|suis)", r"\bpas\b", r"\b(?:aider|traiter|faire|répondre|réaliser|accepter|mesure|autorisée?|modifier)"),
+    (r"\bik kan (?:je|u|hier|dit)", r"\bniet\b"),
+]
 # Courtesies that may stand beside a refusal.
 _COURTESIES = [
     r"^no[.!,]?$", r"^nein[.!,]?$", r"^non[.!,]?$", r"anything else\b.*\?$", r"sonst noch\b.*\?$", r"autre (?:question|chose)\b.*\?$", r"algo más\b.*\?$", r"其他问题", r"还有什么", r"\bask someone else\b", r"^(?:thank|thanks|danke|merci|gracias|谢谢)", r"^(?:please|bitte|por favor|veuillez|请)\b.*(?:someone|jemand|quelqu|otra persona|其他人)", r"\?$",
@@ -40,21 +49,27 @@ _ASKS_REFUSAL = re.compile(r"\b(?:declin\w*|turn(?:s|ed|ing)? down|refus\w+|reje
 _ASKS_LANGUAGE = re.compile(r"\b(?:in|auf|en|em|op|into|to|ins|na|по)[ -](\w+)|用\s*(\w{1,4}?[语文])|(\w+[语文])(?:回答|回复|作答)", re.I)
 
 _REFUSAL = re.compile("|".join(_REFUSALS), re.I)
+_IN_PARTS = [[re.compile(p, re.I) for p in parts] for parts in _REFUSALS_IN_PARTS]
 _COURTESY = re.compile("|".join(_COURTESIES), re.I)
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<[^<>]*>")
 _LABEL = re.compile(r"^\s*(?:step\s+\d+\s*:?|thought\s*:|instruction\s*:|answer\s*:|response\s*:|task\s*:|question\s*:)\s*", re.I)
 _EVIDENCE = re.compile(r"^\s*(?:action|observation)\s*:", re.I)
 _STEP = re.compile(r"(?:\A|\n)\s*step\s+\d+\s*:", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_PATH = re.compile(r"https?://\S+|(?<!\S)[^\s/]*\w/[\w./-]+|\b[^\W_]+_\w+\b|`[^`\n]{0,200}`|(?<!\S)[^\s@]+@\S+")
+_PATH = re.compile(r"https?://\S+|(?<!\S)[^\s/]*\w/[\w./-]+|\b[^\W_]+_\w+\b|`[^`\n]*`|(?<!\S)[^\s@]+@\S+")
+
+
+_OTHER = re.compile(r"[\W_]+")
+_UNSEEN = regex.compile(r"(?!\n)[\p{Cf}\p{Cc}]")
 
 
 def _bare(text: str) -> str:
     """Letters and digits only, in one form and case."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+    return _OTHER.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
+@lru_cache(16)
 def _content(response: str) -> list[str]:
     """The lines of the answer without labels; lines of actions and observations without content are gone."""
     lines = []
@@ -72,12 +87,15 @@ def is_empty(response: str | None) -> bool:
     if response is None:
         return True
     kept = _TAG.sub("", response.replace("&nbsp;", " "))
-    kept = "".join(c for c in kept if unicodedata.category(c) not in ("Cf", "Cc") or c == "\n").strip().strip("\"'").strip()
+    kept = _UNSEEN.sub("", kept).strip().strip("\"'").strip()
     return kept.casefold() in _PLACEHOLDERS or not _bare("\n".join(_content(kept)))
 
 
 def is_copy(instruction: str, response: str) -> bool:
-    """Whether the response has nothing that the prompt lacks, by its size under zstandard with the prompt as dictionary."""
+    """Whether the response has nothing that the prompt lacks, by its size under zstandard with the prompt as dictionary.
+
+    A dictionary needs 8 bytes: shorter prompts are compared as they are. An answer of less than a quarter of the prompt's letters is no copy: it quotes, as answers to questions about a text do, and doesn't repeat the instruction.
+    """
     prompt, answer = _bare(instruction).encode(), _bare("\n".join(re.sub(r"^[>\s\"'“”„«»]+", "", x) for x in _content(response))).encode()
     if len(prompt) < 8 or not answer:
         return bool(answer) and prompt == answer
@@ -90,6 +108,17 @@ def is_copy(instruction: str, response: str) -> bool:
     return len(with_prompt) - FRAME <= COPY_SHARE * (max(len(alone), min(len(first), len(alone) * 2)) - FRAME)
 
 
+def _follow(parts: list[re.Pattern], sentence: str) -> bool:
+    """Whether the parts are found one after the other, each at its first place behind the one before."""
+    at = 0
+    for part in parts:
+        m = part.search(sentence, at)
+        if not m:
+            return False
+        at = m.end()
+    return True
+
+
 def is_refusal(instruction: str, response: str) -> bool:
     """Whether every sentence declines or is a courtesy, at least one declines, nothing is done, and the prompt doesn't ask for a text that declines."""
     if _ASKS_REFUSAL.search(instruction):
@@ -97,7 +126,7 @@ def is_refusal(instruction: str, response: str) -> bool:
     sentences = [s for line in _content(response) for s in _SENTENCE.split(line) if _bare(s)]
     if any(_EVIDENCE.match(s) or s.startswith("```") for s in sentences):
         return False
-    declines = [bool(_REFUSAL.search(s)) for s in sentences]
+    declines = [bool(_REFUSAL.search(s)) or any(_follow(parts, s) for parts in _IN_PARTS) for s in sentences]
     return any(declines) and all(d or _COURTESY.search(s.strip()) for d, s in zip(declines, sentences))
 
 

@@ -69,9 +69,10 @@ def plain_defect(rows):
     return "no_reply" if waiting else None
 
 
-@pytest.mark.parametrize("chunk", [2, 5, 1024])
-def test_defects_of_logs(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "part"), [(1, 8), (2, 6), (5, 20), (16, 65_536)])
+def test_defects_of_logs(spark, monkeypatch, chunk, part):
     monkeypatch.setattr(conversations, "CHUNK", chunk)
+    monkeypatch.setattr(conversations, "PART", part)
     rng = random.Random(chunk)
     logs = {f"l{i}": log_rows(rng, f"l{i}", rng.choice([1, 3, 6, 12, 40])) for i in range(120)}
     logs = {k: v for k, v in logs.items() if v}
@@ -94,6 +95,15 @@ def test_pointers_orphans_and_cycles(spark):
     assert {r.node: r.acc.n for r in got if r.status == "ok"} == {1: 1, 2: 2, 3: 3, 4: 4}
 
 
+def test_rows_of_the_table_are_resolved_by_jumps(spark):
+    messages = spark.read.parquet("/root/testdata/sf0.01/messages.parquet")
+    nodes = conversations.log_nodes(conversations.message_rows(messages)).cache()
+    longest = nodes.groupBy("log_id").count().agg(F.max("count")).first()[0]
+    assert longest > 2**5  # more than five rounds
+    ways = {r.status: r["count"] for r in nodes.groupBy("status").count().collect()}
+    assert ways["ok"] > 500 and ways["orphan"] > 20 and ways["cycle"] > 0
+
+
 def test_nested_caps_are_greedy_by_level(spark):
     rng = random.Random(2)
     rows = [(i, f"a{rng.randint(0, 4)}", f"d{rng.randint(0, 1)}", rng.randint(0, 3), 4, 9) for i in range(90)]
