@@ -21,3 +21,14 @@ def parse_document(text: Column) -> Column:
 def rounded(value: Column, digits: int) -> Column:
     """Rounded half up; what differs from a half by the last bits of a sum, whose order isn't fixed, counts as the half."""
     return F.round(value + 1e-9, digits)
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string as Python writes it: quotes, backslashes and the control characters below a blank are escaped, nothing else; null is the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    rare = text
+    for code in range(32):
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), rare).otherwise(text), F.lit('"'))

@@ -31,11 +31,49 @@ def fill_with_median(steps: DataFrame, score: str = "score") -> DataFrame:
     return steps.join(median, "traj_id", "left").withColumn("filled", F.coalesce(score, "_median", F.lit(0.5))).drop("_median")
 
 
-def judge_prompt(domain: Column, task: Column, tool: Column, params: Column, output: Column) -> Column:
-    """The text a judge gets; outputs beyond 2000 characters are cut with a mark."""
+# What each domain's judge is told about its task; other domains get the first.
+_TASKS = {
+    "coding": "You judge one step of an agent that works on code.",
+    "conversation": "You judge one reply of an agent that talks with a person.",
+    "engineering": "You judge one step of an agent that reviews a technical matter.",
+    "advisory": "You judge one step of an agent that prepares advice.",
+    "discussion": "You judge one contribution of an agent to a discussion.",
+}
+
+
+def judge_prompt(domain: Column, task: Column, tool: Column, params: Column, output: Column, index: Column | None = None, total: Column | None = None, context: Column | None = None, rubrics: list[tuple[str, float]] | None = None) -> Column:
+    """The text a judge gets, by domain: task, step and place, tool, parameters, output (cut beyond 2000 characters with a mark), what came before, the rubrics, and the form of the reply."""
     shown = F.when(F.length(output) > 2000, F.concat(F.substring(output, 1, 2000), F.lit("\n... (truncated)"))).otherwise(output)
     filled = lambda c, other: F.coalesce(F.when(c != "", c), F.lit(other))
-    return F.concat(F.lit("Domain: "), filled(domain, "generic"), F.lit("\nTask: "), filled(task, "(no description)"), F.lit("\nTool: "), filled(tool, "unknown"), F.lit("\nParameters: "), filled(params, "{}"), F.lit("\nOutput: "), F.coalesce(shown, F.lit("")))
+    told = F.lit(_TASKS["coding"])
+    for name, text in _TASKS.items():
+        told = F.when(domain == name, text).otherwise(told)
+    place = F.concat(F.lit("\nStep: "), index.cast("string"), F.lit("/"), total.cast("string")) if index is not None and total is not None else F.lit("")
+    before = F.concat(F.lit("\nBefore:\n"), filled(context, "(first step)")) if context is not None else F.lit("")
+    listed = "".join(f"\n- {i} (weight {w})" for i, w in rubrics or ())
+    return F.concat(told, F.lit("\nTask: "), filled(task, "(no description)"), place, F.lit("\nTool: "), filled(tool, "unknown"), F.lit("\nParameters: "), filled(params, "{}"), F.lit("\nOutput: "), F.coalesce(shown, F.lit("")), before, F.lit(f"\nRubrics, each from 0 to 1:{listed}" if listed else ""), F.lit('\nReply with JSON alone: {"scores": {"rubric": score}, "rationale": "..."}'))
+
+
+def judge_context(steps: DataFrame, keep: int = 5) -> DataFrame:
+    """Adds ``context``: the last ``keep`` steps before each, one a line, with their score or as skipped where it is null. Needs traj_id, ord, tool and score."""
+    line = F.concat(F.lit("Step "), (F.col("ord") + 1).cast("string"), F.lit(": "), F.coalesce(F.when(F.col("tool") != "", F.col("tool")), F.lit("unknown")), F.when(F.col("score").isNull(), " (skipped)").otherwise(F.concat(F.lit(" -> score="), F.format_string("%.2f", "score"))))
+    before = Window.partitionBy("traj_id").orderBy("ord").rowsBetween(-keep, -1)
+    return steps.withColumn("_line", line).withColumn("context", F.array_join(F.collect_list("_line").over(before), "\n")).drop("_line")
+
+
+def weighted_score(scores: Column, rubrics: list[tuple[str, float]]) -> Column:
+    """The weighted mean of an array of scores in the rubrics' order; 0.5 where the weights sum to 0."""
+    total = sum(w for _, w in rubrics)
+    return sum((F.element_at(scores, i + 1) * w for i, (_, w) in enumerate(rubrics)), F.lit(0.0)) / total if total > 0 else F.lit(0.5)
+
+
+def parsed_replies(rows: DataFrame, reply: str, rubrics: list[str]) -> DataFrame:
+    """Adds ``scores`` of the replies in column ``reply``."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: scores_of(t, rubrics))
+
+    return rows.withColumn("scores", F.pandas_udf(run, "array<double>")(reply))
 
 
 def repaired(text: str) -> dict | None:
@@ -74,12 +112,14 @@ def repaired(text: str) -> dict | None:
 
 
 def scores_of(reply: str | None, rubrics: list[str]) -> list[float]:
-    """A score for each rubric held to 0..1; 0.5 where it is missing or the reply can't be read."""
-    found = repaired(reply) if reply else None
+    """A score for each rubric of the reply's ``scores``, held to 0..1; 0.5 where it is missing or the reply can't be read."""
+    found = (repaired(reply) or {}).get("scores") if reply else None
+    if not isinstance(found, dict):
+        found = {}
     out = []
     for r in rubrics:
         try:
-            out.append(min(1.0, max(0.0, float((found or {}).get(r, 0.5)))))
+            out.append(min(1.0, max(0.0, float(found.get(r, 0.5)))))
         except (TypeError, ValueError):
             out.append(0.5)
     return out

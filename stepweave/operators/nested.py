@@ -7,7 +7,6 @@ The walk is an Arrow-batched Python function. The same walk as array functions o
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -15,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A merged schema with more paths raises an error: its keys would be data, and the set would grow with the rows.
+from stepweave.functions import deepjson
+
+#: A merged schema with more paths isn't used: its keys are data then, and the set would grow with the rows. The walk goes on without it, to the same rows.
 MAX_PATHS = 200_000
 
 _DOCUMENT = re.compile(r'\s*[\[{"]')
@@ -27,13 +28,13 @@ def _refuse(name: str) -> None:
 
 
 def load(text: str) -> dict | list | None:
-    """The object or array that a text holds as one whole JSON document (also encoded as a JSON string, once or more), else None. Documents nested deeper than the interpreter's stack count as none."""
+    """The object or array that a text holds as one whole JSON document (also encoded as a JSON string, once or more), else None. Of any depth."""
     while isinstance(text, str):
         if not _DOCUMENT.match(text):
             return None
         try:
-            text = json.loads(text, parse_constant=_refuse)
-        except (ValueError, RecursionError):
+            text = deepjson.loads(text, parse_constant=_refuse)
+        except ValueError:
             return None
     return text if isinstance(text, (dict, list)) else None
 
@@ -43,7 +44,7 @@ def _is_step(v: dict) -> bool:
 
 
 def _text(v: object) -> str | None:
-    return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
+    return v if isinstance(v, str) or v is None else deepjson.dumps(v)
 
 
 def _leaf(v: dict) -> str | None:
@@ -90,19 +91,17 @@ def merged_schema(roots: DataFrame) -> DataFrame:
     return roots.select("path", "text").mapInPandas(_infer, "path string, kind string").distinct()
 
 
-def _collect_schema(roots: DataFrame) -> frozenset[str]:
-    """Paths that hold a container in some record, with an error beyond MAX_PATHS."""
+def _collect_schema(roots: DataFrame) -> frozenset[str] | None:
+    """Paths that hold a container in some record; None beyond MAX_PATHS."""
     rows = merged_schema(roots).select("path").distinct().limit(MAX_PATHS + 1).collect()
-    if len(rows) > MAX_PATHS:
-        raise ValueError(f"the merged schema has more than {MAX_PATHS} paths")
-    return frozenset(r[0] for r in rows)
+    return frozenset(r[0] for r in rows) if len(rows) <= MAX_PATHS else None
 
 
 _NODES = "record_key string, array_path string, path string, parent_path string, ordinal int, step boolean, leaf string, url boolean"
 
 
-def _explode(paths: frozenset[str]):
-    """Opens the arrays level by level along the merged schema ``paths``."""
+def _explode(paths: frozenset[str] | None):
+    """Opens the arrays level by level along the merged schema ``paths`` (None: wherever there is something to open)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,9 +122,9 @@ def _explode(paths: frozenset[str]):
                                     out.append((key, array, f"{path}.{k}" if path else k, up, ordinal, False, x, True))
                                 if isinstance(x, (dict, list, str)):
                                     inner = f"{at}.{k}" if at else k
-                                    if inner in paths:
+                                    if paths is None or inner in paths:
                                         below.append((inner, f"{path}.{k}" if path else k, up, x, array, -1))
-                        elif isinstance(v, list) and (inner := at + "[]") in paths:
+                        elif isinstance(v, list) and ((inner := at + "[]") in (paths or ()) or paths is None):
                             below.extend((inner, f"{path}[{i}]", up, x, inner, i) for i, x in enumerate(v) if isinstance(x, (dict, list, str)))
                     level = below
             yield pd.DataFrame(out, columns=["record_key", "array_path", "path", "parent_path", "ordinal", "step", "leaf", "url"]).astype({"step": bool, "url": bool})
@@ -162,6 +161,38 @@ def flat_tables(trajectories: DataFrame, browser: DataFrame) -> DataFrame:
 
     Null keys, null texts, empty texts and texts that are not one whole JSON document give no row; records that are stored several times give their rows once; other columns are not read. A string anywhere that is itself a whole JSON object or array counts as that document, and its path goes on below the string's. Of a key written twice in one object the last value counts. A step whose tool has no name has a null leaf.
     """
-    steps = child_tables(trajectory_roots(trajectories)).where("step").select(F.lit("trajectories").alias("tab"), "record_key", "path", "parent_path", "leaf")
+    steps = child_tables(trajectory_roots(trajectories).distinct()).where("step").select(F.lit("trajectories").alias("tab"), "record_key", "path", "parent_path", "leaf")
     urls = child_tables(browser_roots(browser)).where("url").select(F.lit("browser_trajectory").alias("tab"), "record_key", "path", "parent_path", "leaf")
     return steps.unionByName(urls).distinct()
+
+
+_CHILD = "record_key string, array_path string, path string, parent_path string, ordinal int, value string"
+
+
+def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out: list[tuple] = []
+        for key, text in zip(batch["record_key"], batch["text"]):
+            todo: list[tuple[str, str, str, object]] = [("", "", "", text)]
+            while todo:
+                general, path, up, v = todo.pop()
+                v = load(v) if isinstance(v, str) else v
+                if isinstance(v, dict):
+                    todo.extend((f"{general}.{k}" if general else k, f"{path}.{k}" if path else k, up, x) for k, x in v.items() if isinstance(x, (dict, list, str)))
+                elif isinstance(v, list):
+                    for i, x in enumerate(v):
+                        at, whole = f"{path}[{i}]", load(x) if isinstance(x, str) else x
+                        own = {k: y for k, y in whole.items() if not isinstance(y, (dict, list))} if isinstance(whole, dict) else None if isinstance(whole, list) else whole
+                        out.append((key, general + "[]", at, up, i, None if isinstance(whole, list) else deepjson.dumps(own, sort_keys=True)))
+                        if isinstance(whole, (dict, list)):
+                            todo.append((general + "[]", at, at, whole))
+        yield pd.DataFrame(out, columns=["record_key", "array_path", "path", "parent_path", "ordinal", "value"])
+
+
+def child_rows(trajectories: DataFrame) -> DataFrame:
+    """All child tables of ``trajectories.data`` in one, told apart by ``array_path``: a row for each element of each array at any depth, with its record's key, its path as surrogate key, the path of the element that holds it (empty for the record itself), its ordinal, and its own scalars as JSON (the value itself where it is one, null for an array).
+
+    The record is the row of ``trajectories`` itself. Nulls, empty texts, repeats and text that isn't JSON as in ``flat_tables``.
+    """
+    roots = trajectory_roots(trajectories).select("record_key", "text").distinct()
+    return roots.mapInPandas(_elements, _CHILD).distinct()

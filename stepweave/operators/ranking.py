@@ -25,3 +25,12 @@ def distributed_row_number(df: DataFrame, part: Sequence[str], order: Sequence[C
     inside = Window.partitionBy("__at", *part).orderBy(*order)
     ranked = spread.join(offsets, ["__at", *part]).withColumn(out, F.row_number().over(inside) + F.col("__before"))
     return ranked.select(*df.columns, out)
+
+
+def distributed_running_sum(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each in ``order`` (which should end in a unique key), without a task for all rows: sums inside range partitions, and one row a partition for what comes before it."""
+    spread = cut(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn("__at", F.spark_partition_id()))
+    before = Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spread.groupBy("__at").agg(F.sum(value).alias("__n")).select("__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return spread.join(offsets, "__at").withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("__before")).select(*df.columns, out)

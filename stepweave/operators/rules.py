@@ -93,9 +93,14 @@ def scored_steps(steps: DataFrame, domain: str = "coding", model_score: float =
 
 
 def trajectory_rewards(scored: DataFrame, trajectories: DataFrame, outcome: Column, reference: Column | None = None) -> DataFrame:
-    """(traj_id, task_id, outcome, process, efficiency, reward): 0.4 outcome + 0.5 process + 0.1 efficiency, rounded to 6."""
+    """(traj_id, task_id, outcome, process, efficiency, reward): 0.4 outcome + 0.5 process + 0.1 efficiency, rounded to 6. A trajectory without steps keeps its outcome and has 0 for all else."""
     process = scored.groupBy("traj_id").agg(F.avg("step_total").alias("process"))
-    joined = trajectories.join(process, "traj_id")
-    eff = efficiency(F.col("n_steps"), reference if reference is not None else F.col("n_steps"))
-    total = 0.4 * outcome + 0.5 * F.col("process") + 0.1 * eff
+    joined = trajectories.join(process, "traj_id", "left").withColumn("_none", F.col("process").isNull()).withColumn("process", F.coalesce("process", F.lit(0.0)))
+    eff = F.when(F.col("_none"), 0.0).otherwise(efficiency(F.col("n_steps"), reference if reference is not None else F.col("n_steps")))
+    total = F.when(F.col("_none"), 0.0).otherwise(0.4 * outcome + 0.5 * F.col("process") + 0.1 * eff)
     return joined.select("traj_id", "task_id", rounded(outcome, 6).alias("outcome"), rounded(F.col("process"), 6).alias("process"), rounded(eff, 6).alias("efficiency"), rounded(total, 6).alias("reward"))
+
+
+def rescored(trajs: DataFrame) -> DataFrame:
+    """The stored reward, and ``computed`` where it is exactly 0: scoring again changes nothing that has a score."""
+    return trajs.withColumn("reward", F.when(F.col("reward") == 0, F.col("computed")).otherwise(F.col("reward")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.operators.ranking import distributed_row_number
+from stepweave.operators.ranking import distributed_row_number, distributed_running_sum
 from stepweave.runtime import cut
 
 # Bounds of |t| or |z| for the words given as p.
@@ -89,8 +89,8 @@ def paired_t(rows: DataFrame, a: str, b: str) -> DataFrame:
 def mann_whitney(rows: DataFrame, value: str, is_a: Column) -> DataFrame:
     """(u, z, effect, p) with average ranks and without a correction for ties. Values are ranked by their counts, so equal values are one row."""
     counts = rows.groupBy(F.col(value).alias("v")).agg(F.count_if(is_a).alias("na"), F.count_if(~is_a).alias("nb"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum(F.col("na") + F.col("nb")).over(w), F.lit(0)) + (F.col("na") + F.col("nb") + 1) / 2
+    counts = distributed_running_sum(counts.withColumn("both", F.col("na") + F.col("nb")), [F.asc("v")], "both", "below")
+    rank = F.col("below") + (F.col("both") + 1) / 2
     s = counts.withColumn("rank", rank).agg(F.sum(F.col("rank") * F.col("na")).alias("ra"), F.sum("na").cast("double").alias("n1"), F.sum("nb").cast("double").alias("n2"))
     n1, n2 = F.col("n1"), F.col("n2")
     ua = F.col("ra") - n1 * (n1 + 1) / 2
@@ -100,22 +100,23 @@ def mann_whitney(rows: DataFrame, value: str, is_a: Column) -> DataFrame:
 
 
 def _pearson(x: Column, y: Column) -> Column:
-    """Pearson's r from sums; 0 where a deviation is 0."""
-    n = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).cast("double")
-    top = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-    low = (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))
-    return F.coalesce(F.try_divide(top, F.sqrt(F.greatest(low, F.lit(0.0)))), F.lit(0.0))
+    """Pearson's r from co-moments that are updated row by row, so that nothing cancels in large tables; 0 where a deviation is 0."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
 def calibration(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, pearson, spearman, mae, max_error): average ranks for ties, all rounded to 4. Ranks come from counts of distinct values."""
-    ranked = rows
+    """(n, pearson, spearman, mae, max_error, min_error): average ranks for ties, all rounded to 4. Ranks come from running sums of the counts of distinct values; rows with a null are left out, and fewer than two are an error."""
+    ranked = rows = rows.dropna(subset=[x, y])
+    if len(rows.take(2)) < 2:
+        raise ValueError("at least two rows with both scores are needed")
     for c in (x, y):
         counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        below = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.join(counts.select(c, (below + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c)
+        counts = distributed_running_sum(counts, [F.asc(c)], "_n", "_below")
+        ranked = ranked.join(counts.select(c, (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c)
     error = F.abs(F.col(x) - F.col(y))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.round(_pearson(F.col(x), F.col(y)), 4).alias("pearson"), F.round(_pearson(F.col(f"_r_{x}"), F.col(f"_r_{y}")), 4).alias("spearman"), F.round(F.avg(error), 4).alias("mae"), F.round(F.max(error), 4).alias("max_error"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.round(_pearson(F.col(x), F.col(y)), 4).alias("pearson"), F.round(_pearson(F.col(f"_r_{x}"), F.col(f"_r_{y}")), 4).alias("spearman"), F.round(F.avg(error), 4).alias("mae"), F.round(F.max(error), 4).alias("max_error"), F.round(F.min(error), 4).alias("min_error"))
 
 
 def _rising(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> int:
@@ -188,6 +189,51 @@ def dpo_loss(chosen: Column, rejected: Column, ref_chosen: Column, ref_rejected:
     return F.log1p(F.exp(-beta * ((chosen - ref_chosen) - (rejected - ref_rejected))))
 
 
+def grpo_loss(rows: DataFrame, clip: float = 0.2, kl_coef: float = 0.01) -> DataFrame:
+    """(loss, policy_loss, kl, ratio_mean, ratio_std, advantage_mean) of rows with log_prob, old_log_prob and advantage: the clipped objective plus ``kl_coef`` times the mean fall of the log-probability."""
+    ratio = F.exp(F.col("log_prob") - F.col("old_log_prob"))
+    held = F.greatest(F.lit(1 - clip), F.least(F.lit(1 + clip), ratio))
+    gain = F.least(ratio * F.col("advantage"), held * F.col("advantage"))
+    g = rows.agg((-F.avg(gain)).alias("policy_loss"), F.avg(F.col("old_log_prob") - F.col("log_prob")).alias("kl"), F.avg(ratio).alias("ratio_mean"), F.stddev_samp(ratio).alias("ratio_std"), F.avg("advantage").alias("advantage_mean"))
+    return g.select((F.col("policy_loss") + kl_coef * F.col("kl")).alias("loss"), "*")
+
+
+def weighted_cross_entropy(tokens: DataFrame) -> DataFrame:
+    """(loss): of token rows with label, log_prob and weight (null: 1), the mean of weight times the negative log-probability over the tokens whose label isn't -100; 0 without such tokens. The log-probabilities are those of the label at its own place, so the shift by one is the caller's."""
+    counts = F.col("label") != -100
+    total = F.sum(F.when(counts, -F.col("log_prob") * F.coalesce("weight", F.lit(1.0))).otherwise(0.0))
+    return tokens.agg(F.coalesce(F.try_divide(total, F.count_if(counts)), F.lit(0.0)).alias("loss"))
+
+
+def sequence_log_probs(tokens: DataFrame, by: str = "traj_id") -> DataFrame:
+    """(by, log_prob): sums over the tokens whose label isn't -100; the first token of a sequence, which nothing predicts, doesn't count."""
+    counts = (F.col("label") != -100) & (F.col("pos") > 0)
+    return tokens.groupBy(by).agg(F.sum(F.when(counts, F.col("log_prob")).otherwise(0.0)).alias("log_prob"))
+
+
+def episode_summary(rows: DataFrame) -> DataFrame:
+    """One row of an agent's evaluation: episodes, success rate with its Wilson interval, mean, deviation, interval and extremes of rewards, mean, deviation and interval of steps, and the four bins."""
+    one = rows.withColumn("_all", F.lit("all"))
+    reward = summaries(one, "_all")
+    steps = summaries(one.withColumn("n_steps", F.col("n_steps").cast("double")), "_all", "n_steps").select("_all", F.col("mean").alias("avg_steps"), F.col("std").alias("std_steps"), F.col("ci_low").alias("steps_low"), F.col("ci_high").alias("steps_high"))
+    return reward.join(steps, "_all").drop("_all")
+
+
+def compare_agents(rows: DataFrame, by: str = "agent_model") -> DataFrame:
+    """The leaderboard with, for each agent, the number of other agents that it differs from significantly, before and after the correction for many pairs (which is only made beyond two agents)."""
+    board, pairs = leaderboard(rows, by), pairwise_welch(rows, by)
+    each = pairs.select(F.explode(F.array("a", "b")).alias(by), "significant", "significant_corrected")
+    n = each.groupBy(by).agg(F.count_if("significant").alias("differs"), F.count_if("significant_corrected").alias("differs_corrected"))
+    return board.join(n, by, "left").fillna(0, ["differs", "differs_corrected"])
+
+
+def welch(rows: DataFrame, value: str, is_a: Column) -> DataFrame:
+    """(t, effect, p, significant) of two samples told apart by ``is_a``."""
+    m = _moments(rows.withColumn("_a", F.when(is_a, "a").otherwise("b")), "_a", value)
+    t, effect, words = _welch("a", "b")
+    return m.where("_a = 'a'").alias("a").join(m.where("_a = 'b'").alias("b")).select(t.alias("t"), effect.alias("effect"), words.alias("p"), (F.abs(t) > 2.0).alias("significant"))
+
+
 def perplexity(rows: DataFrame) -> DataFrame:
     """(perplexity, accuracy) of rows with nll, n_tokens and n_right."""
     return rows.agg(F.exp(F.sum("nll") / F.sum("n_tokens")).alias("perplexity"), (F.sum("n_right") / F.sum("n_tokens")).alias("accuracy"))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.functions.text import rounded
+from stepweave.functions import deepjson
+from stepweave.functions.text import json_text, parse_document, rounded
 
 # Weights of desirability and the decay of freshness by day.
 WEIGHTS = {"intrinsic": 0.35, "utility": 0.30, "feedback": 0.20, "freshness": 0.15}
@@ -18,9 +18,8 @@ DECAY = 0.05
 
 
 def flat_content_hash(steps: DataFrame) -> DataFrame:
-    """(traj_id, content_hash) of steps with one parameter ``path``: first 16 hex digits of SHA-256 over the canonical JSON of tool, params and output."""
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
-    one = F.concat(F.lit('{"output": '), quoted(F.col("output")), F.lit(', "params": {"path": '), quoted(F.col("target")), F.lit('}, "tool": '), quoted(F.col("tool")), F.lit("}"))
+    """(traj_id, content_hash) of steps with one parameter ``path``: first 16 hex digits of SHA-256 over the canonical JSON of tool, params and output, where a null counts as empty."""
+    one = F.concat(F.lit('{"output": '), json_text(F.col("output")), F.lit(', "params": {"path": '), json_text(F.col("target")), F.lit('}, "tool": '), json_text(F.col("tool")), F.lit("}"))
     listed = steps.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("ord", one.alias("j")))).alias("_s"))
     text = F.concat(F.lit("["), F.array_join(F.transform("_s", lambda s: s["j"]), ", "), F.lit("]"))
     return listed.select("traj_id", F.substring(F.sha2(text, 256), 1, 16).alias("content_hash"))
@@ -32,7 +31,7 @@ def content_hash(steps_json: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             try:
-                steps = json.loads(text) if text else None
+                steps = deepjson.loads(text) if text else None
             except ValueError:
                 return None
             steps = steps.get("steps") if isinstance(steps, dict) else steps
@@ -42,7 +41,7 @@ def content_hash(steps_json: Column) -> Column:
             for s in (x for x in steps if isinstance(x, dict)):
                 call, result = s.get("tool_call") or {}, s.get("tool_result") or {}
                 out.append({"tool": s.get("tool") or call.get("name") or "", "params": s.get("params") or call.get("parameters") or {}, "output": s.get("output") or result.get("output") or ""})
-            return hashlib.sha256(json.dumps(out, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+            return hashlib.sha256(deepjson.dumps(out, sort_keys=True).encode()).hexdigest()[:16]
 
         return texts.map(one)
 
@@ -100,8 +99,8 @@ def migrate(store: DataFrame, columns: dict[str, str]) -> DataFrame:
     return store
 
 
-#: Columns by which a listing may be ordered; others fall back to gdi_score.
-ORDERS = ("gdi_score", "reward", "created_at", "export_count", "total_steps")
+# Columns by which a listing may be ordered; others fall back to gdi_score.
+ORDERS = ("gdi_score", "reward", "created_at", "export_count")
 
 
 def listing(store: DataFrame, order_by: str = "gdi_score", limit: int = 100, offset: int = 0, task_id: str | None = None) -> DataFrame:
@@ -129,3 +128,23 @@ def stats(store: DataFrame) -> DataFrame:
     """Counts, means rounded to 4 and the sum of exports; nulls as 0."""
     mean = lambda c: F.round(F.coalesce(F.avg(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)), 4)
     return store.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("task_id").alias("tasks"), F.countDistinct("employee").alias("employees"), mean("reward").alias("avg_reward"), mean("gdi_score").alias("avg_gdi"), F.coalesce(F.sum("export_count"), F.lit(0)).alias("exports"))
+
+
+def by_hash(store: DataFrame, hashes: list[str], prefix: bool = False) -> DataFrame:
+    """The rows of given hashes (or of hashes that begin so); the filter reaches the scan."""
+    if not prefix:
+        return store.where(F.col("content_hash").isin(hashes))
+    wanted = F.lit(False)
+    for h in hashes:
+        wanted = wanted | F.col("content_hash").startswith(h)
+    return store.where(wanted)
+
+
+def parsed_rows(store: DataFrame) -> DataFrame:
+    """The rows with ``parsed`` (whether data is a JSON object or array) and ``n_steps`` of its steps (null without a list of them); data that isn't JSON is passed over."""
+    v = parse_document(F.col("data"))
+    at_top = F.try_variant_get(v, "$", "array<variant>")
+    inside = F.try_variant_get(v, "$.steps", "array<variant>")
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    is_array = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    return store.where("content_hash IS NOT NULL").withColumn("parsed", is_object | is_array).withColumn("n_steps", F.when(is_array, F.size(at_top)).when(inside.isNotNull(), F.size(inside)))

@@ -14,6 +14,7 @@ from stepweave import derive, dims
 from stepweave.functions import agent_text, sanitize
 from stepweave.functions.text import rounded
 from stepweave.operators import episodes, export, judging, nested, pairs, rules, statistics, store
+from stepweave.plans import coverage
 from stepweave.plans.sql import ORACLES
 from stepweave.runtime import table
 from stepweave.sources import logs
@@ -105,14 +106,17 @@ def _iterations(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return _queries() | coverage.queries()
+
+
+def _queries() -> dict[str, Query]:
     return {
         "p2_found": lambda s, d: nested.flat_tables(table(s, d, "trajectories"), table(s, d, "browser_trajectory")),
         "p2_merged_schema": lambda s, d: nested.merged_schema(nested.trajectory_roots(table(s, d, "trajectories"))),
         # Sources
         "s3_load_store": lambda s, d: _cas(s, d).where("gdi_score >= 0.5").orderBy(F.desc("gdi_score"), "content_hash", "created_at").limit(10000).select("content_hash", "gdi_score", "created_at"),
         "s7_read_from_store": lambda s, d: store.read_best(_one_cas(s, d), 0.5, domain="coding", limit=500).select("content_hash", "reward"),
-        "s8_tasks": lambda s, d: _tasks(s, d),
-        "s13_event_pairs": lambda s, d: logs.openhands_steps(_events(s, d)).select("log_id", "step_id", "tool", "exit_code"),
+        "s13_event_pairs": lambda s, d: logs.openhands_steps(_events(s, d)),
         "s15_outcome": lambda s, d: logs.openhands_outcome(_events(s, d)),
         "s16_metadata": lambda s, d: logs.openhands_metadata(_events(s, d)),
         "s30_profiles": lambda s, d: dims.tool_dim(s),
@@ -137,10 +141,8 @@ def queries() -> dict[str, Query]:
         "r5_efficiency": lambda s, d: derive.trajectories(base_steps(s, d)).select("traj_id", F.round(rules.efficiency(F.col("n_steps"), F.lit(8)), 6).alias("efficiency")),
         "r6_outcome": lambda s, d: table(s, d, "orders").select("o_orderkey", rounded(rules.outcome_score(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice") / 200000), F.col("o_custkey") % 7, F.col("o_custkey") % 5, F.col("o_orderstatus") == "F"), 6).alias("score")),
         "r7_rewards": lambda s, d: rewarded(s, d).select("traj_id", "task_id", "outcome", "process", "efficiency", "reward"),
-        "r10_rescored": lambda s, d: rewarded(s, d).select("traj_id", F.when(F.col("user_id") % 3 == 0, F.col("reward")).otherwise(F.col("mean_value")).alias("reward")),
         "r11_prefix_scores": lambda s, d: scored(s, d).select("traj_id", "ord", F.round("step_total", 6).alias("step_total")),
         # Judge
-        "j1_prompts": lambda s, d: base_steps(s, d).select("traj_id", "ord", judging.judge_prompt(F.lit("coding"), F.lit(""), F.col("tool"), F.col("params_text"), F.col("output")).alias("prompt")),
         "j2_sampled_steps": lambda s, d: base_steps(s, d).join(derive.trajectories(base_steps(s, d)).select("traj_id", "n_steps"), "traj_id").where(judging.sampled(F.col("ord"), F.col("n_steps").cast("int"))).select("traj_id", "ord"),
         "j6_median_filled": lambda s, d: judging.fill_with_median(base_steps(s, d).select("traj_id", "ord", F.when(F.col("ord") % 3 != 2, F.round("value", 2)).alias("score"))),
         # Pairs and groups
@@ -151,17 +153,12 @@ def queries() -> dict[str, Query]:
         "pg5_judge_batch": lambda s, d: pairs.judged_candidates(rewarded(s, d)),
         "pg6_summary": lambda s, d: pairs.pairs_summary(pairs.outside_in_pairs(rewarded(s, d))),
         "pg7_by_task": lambda s, d: pairs.query_by_task(rewarded(s, d), 0.4, 0.9, 2, 300).select("task_id", "traj_id", "reward"),
-        "pg8_groups": lambda s, d: pairs.groups(rewarded(s, d), 4),
-        "pg9_all_members": lambda s, d: pairs.groups(rewarded(s, d), None),
-        "pg10_benchmark": lambda s, d: pairs.benchmark(rewarded(s, d)),
-        "pg13_resume": lambda s, d: pairs.remaining(table(s, d, "customer").select(F.col("c_custkey").alias("task_id")), table(s, d, "orders").select(F.col("o_custkey").alias("task_id"))),
         "pg14_task_agents": lambda s, d: _task_agents(s, d),
         "pg16_tool_difference": lambda s, d: pairs.tool_difference(base_steps(s, d), "t1-w0", "t2-w0"),
         "pg17_replay": lambda s, d: pairs.replay(base_steps(s, d).withColumn("expected", F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, "other").otherwise(F.concat("output", F.lit(" ")))).withColumn("exit_code", F.lit(0))),
         "pg18_pairwise": lambda s, d: statistics.pairwise_welch(rewarded(s, d)),
         # Store
         "d1_deduplicated": lambda s, d: _store(s, d),
-        "d2_content_hash": lambda s, d: store.flat_content_hash(base_steps(s, d)),
         "d3_desirability": lambda s, d: _gdi(s, d),
         "d4_ranked": lambda s, d: _gdi(s, d).orderBy(F.desc("total"), "traj_id").select("traj_id", "total"),
         "d6_feedback": lambda s, d: store.feedback_update(_one_cas(s, d).where("reward IS NOT NULL"), _one_cas(s, d).where("reward > 0.6").select("content_hash", F.lit(0.9).alias("feedback")), F.lit(1780000000.0)).select("content_hash", "gdi_score"),
@@ -172,7 +169,6 @@ def queries() -> dict[str, Query]:
         "a2_iterations": lambda s, d: _returns(s, d),
         "a3_summaries": lambda s, d: statistics.summaries(rewarded(s, d), "agent_model"),
         "a6_leaderboard": lambda s, d: statistics.leaderboard(rewarded(s, d)),
-        "a8_validation": lambda s, d: export.validate_sft(table(s, d, "sft_records")),
         "a9_datacard": lambda s, d: rewarded(s, d).groupBy("employee").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("success"), 4).alias("success_rate"), F.round(F.avg("reward"), 4).alias("avg_reward"), F.round(F.avg("n_steps"), 4).alias("avg_steps"), F.countDistinct("agent_model").alias("models")),
         "a10_calibration": lambda s, d: statistics.calibration(_calibrated(s, d), "x", "y"),
         "a10_calibration_exact": lambda s, d: statistics.calibration(_exact(s, d), "x", "y"),
@@ -208,7 +204,6 @@ def queries() -> dict[str, Query]:
         "e6_parsed_steps": lambda s, d: table(s, d, "sft_records").select("record_id", F.size(agent_text.parse_steps(F.coalesce("response", F.lit("")))).alias("n_steps")),
         "e8_messages": lambda s, d: table(s, d, "sft_records").select("record_id", agent_text.messages_text(agent_text.messages(F.coalesce("instruction", F.lit("")), agent_text.parse_steps(F.coalesce("response", F.lit(""))))).alias("text")),
         "e11_actions": lambda s, d: base_steps(s, d).select("traj_id", "ord", agent_text.parse_action(F.concat_ws(" ", "tool", "target")).alias("a")).select("traj_id", "ord", "a.tool", "a.params"),
-        "e13_memories": lambda s, d: table(s, d, "messages").where("action = 'message'").select("log_id", "id", agent_text.memory_category(F.coalesce(F.get_json_object("args", "$.content"), "content"), F.col("id")).alias("category")).where("category IS NOT NULL").distinct(),
         "e14_shortened": lambda s, d: table(s, d, "documents").select("doc_id", agent_text.shortened(F.col("text"), 300).alias("text")),
         "e16_chunks": lambda s, d: export.chunks(base_steps(s, d).withColumn("length", F.length("output") + F.col("k")), 200),
         "e16_order_chunks": lambda s, d: export.chunks(_orders(s, d), 120),
@@ -233,4 +228,4 @@ def _returns(s: SparkSession, d: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | coverage.oracle_sql()

@@ -42,8 +42,21 @@ oi AS (SELECT a.task_id, a.traj_id AS chosen, b2.traj_id AS rejected, a.reward -
 _CAS = r"""WITH one AS (SELECT content_hash, min(task_id) AS task_id, min(employee) AS employee, min(domain) AS domain, max(CASE WHEN NOT isnan(reward) THEN reward END) AS reward,
   max(gdi_score) AS gdi_score, max(export_count) AS export_count, min(created_at) AS created_at, max(total_steps) AS total_steps FROM trajectories WHERE content_hash IS NOT NULL GROUP BY content_hash)
 """
-_EV = r"""WITH e AS (SELECT log_id, id, lower(trim(source)) AS source, action, observation, args, content, thought, extras FROM messages WHERE log_id IS NOT NULL AND id IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY log_id, id ORDER BY received_at, coalesce(content, ''), coalesce(args, '')) = 1)
+_EV = r"""WITH e0 AS (SELECT log_id, id, source AS src, action, observation, args, content, thought, "timestamp", extras, min(received_at) AS received_at FROM messages WHERE log_id IS NOT NULL GROUP BY ALL),
+e AS (SELECT *, lower(trim(src)) AS source, row_number() OVER (PARTITION BY log_id ORDER BY id NULLS FIRST, received_at, coalesce(content, ''), coalesce(args, '')) AS rn FROM e0)
+"""
+_PAIRED = _EV + """, p AS (SELECT *, lag(action) OVER w AS b_action, lag(source) OVER w AS b_source, lag(args) OVER w AS b_args, lag(thought) OVER w AS b_thought, lag("timestamp") OVER w AS b_ts, lag(extras.token_count) OVER w AS b_tokens
+  FROM e WHERE action IS NOT NULL OR observation IS NOT NULL OR source = 'user' WINDOW w AS (PARTITION BY log_id ORDER BY rn)),
+steps AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY rn) - 1 AS step_id,
+  CASE b_action WHEN 'run' THEN 'bash' WHEN 'run_ipython' THEN 'ipython' WHEN 'read' THEN 'read_file' WHEN 'write' THEN 'write_file' WHEN 'browse' THEN 'browse_url' WHEN 'edit' THEN 'edit_file' ELSE b_action END AS tool,
+  coalesce(b_args, '{}') AS params, coalesce(b_thought, '') AS thought, coalesce(content, '') AS output, coalesce(extras.exit_code, 0) AS exit_code, extras.error AS error, b_ts AS "timestamp", b_tokens AS token_count
+  FROM p WHERE observation IS NOT NULL AND action IS NULL AND b_action IS NOT NULL AND b_action NOT IN ('message', 'finish') AND b_source IS DISTINCT FROM 'user')
+"""
+_OUTCOME = _PAIRED + """, f AS (SELECT log_id, min(rn) AS fid, arg_min(struct_pack(success := CASE WHEN json_extract(args, '$.outputs.test_result') IS NOT NULL THEN coalesce(json_extract_string(args, '$.outputs.test_result.success'), 'false') ELSE json_extract_string(args, '$.outputs.success') END,
+    passed := coalesce(json_extract_string(args, '$.outputs.test_result.tests_passed')::INT, 0), failed := coalesce(json_extract_string(args, '$.outputs.test_result.tests_failed')::INT, 0)), rn) AS said FROM e WHERE action = 'finish' GROUP BY log_id),
+g AS (SELECT log_id, count(*) AS events, bool_or(fid IS NOT NULL) AS finished, bool_or(coalesce(observation = 'run' AND extras.exit_code = 0 AND regexp_matches(content, 'passed|PASSED') AND (fid IS NULL OR rn < fid), false)) AS passed, any_value(said) AS said FROM e LEFT JOIN f USING (log_id) GROUP BY log_id),
+t AS (SELECT log_id, count(*) AS total_steps, coalesce(sum(token_count), 0) AS total_tokens FROM steps GROUP BY log_id),
+outcomes AS (SELECT log_id, events, finished, coalesce(said.success = 'true', passed) AS success, coalesce(said.passed, 0) AS tests_passed, coalesce(said.failed, 0) AS tests_failed, coalesce(total_steps, 0) AS total_steps, coalesce(total_tokens, 0) AS total_tokens FROM g LEFT JOIN t USING (log_id))
 """
 _GDI = _R + rf""", g AS (SELECT traj_id, least(1, greatest(0, reward)) AS i, CASE WHEN export_count <= 0 THEN 0 ELSE least(1, ln(1 + export_count) / ln(101)) END AS u,
   1 / (1 + greatest(0, (epoch(TIMESTAMP '{NOW}') - created_at) / 86400) * 0.05) AS f FROM w)
@@ -92,18 +105,11 @@ _ARG = "coalesce(json_extract_string(args, '$.content'), content)"
 ORACLES = {
     "s3_load_store": "SELECT content_hash, gdi_score, created_at FROM trajectories WHERE gdi_score >= 0.5 ORDER BY gdi_score DESC, content_hash, created_at LIMIT 10000",
     "s7_read_from_store": _CAS + "SELECT content_hash, reward FROM one WHERE reward >= 0.5 AND domain = 'coding' ORDER BY reward DESC, content_hash LIMIT 500",
-    "s8_tasks": _TASKS + "SELECT * FROM tasks",
-    "s13_event_pairs": _EV
-    + """, p AS (SELECT *, lag(action) OVER w AS b_action, lag(source) OVER w AS b_source FROM e WHERE action IS NOT NULL OR observation IS NOT NULL OR source = 'user' WINDOW w AS (PARTITION BY log_id ORDER BY id))
-SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY id) - 1 AS step_id, CASE b_action WHEN 'run' THEN 'bash' WHEN 'run_ipython' THEN 'ipython' WHEN 'read' THEN 'read_file' WHEN 'write' THEN 'write_file' WHEN 'browse' THEN 'browse_url' WHEN 'edit' THEN 'edit_file' ELSE b_action END AS tool,
-  coalesce(extras.exit_code, 0) AS exit_code FROM p WHERE observation IS NOT NULL AND action IS NULL AND b_action IS NOT NULL AND b_action NOT IN ('message', 'finish') AND b_source IS DISTINCT FROM 'user'""",
-    "s15_outcome": _EV
-    + """, f AS (SELECT log_id, min(id) AS fid, arg_min(json_extract_string(args, '$.success'), id) AS said FROM e WHERE action = 'finish' GROUP BY log_id)
-SELECT log_id, count(*) AS events, bool_or(fid IS NOT NULL) AS finished, coalesce(max(said) = 'true', bool_or(coalesce(observation = 'run' AND coalesce(extras.exit_code, 0) = 0 AND regexp_matches(content, 'passed|PASSED') AND (fid IS NULL OR id < fid), false))) AS success
-FROM e LEFT JOIN f USING (log_id) GROUP BY log_id""",
+    "s13_event_pairs": _PAIRED + "SELECT * FROM steps",
+    "s15_outcome": _OUTCOME + "SELECT * FROM outcomes",
     "s16_metadata": _EV
-    + f"""SELECT log_id, arg_min({_ARG}, id) FILTER (source = 'user' AND action = 'message' AND {_ARG} IS NOT NULL) AS task, arg_max(extras.model, id) FILTER (extras.model <> '') AS model, arg_max(extras.agent_class, id) FILTER (extras.agent_class <> '') AS agent_class,
-  arg_max(extras.instance_id, id) FILTER (extras.instance_id <> '') AS instance_id, arg_max(extras.max_iterations, id) FILTER (extras.max_iterations IS NOT NULL) AS max_iterations FROM e GROUP BY log_id""",
+    + f"""SELECT log_id, arg_min({_ARG}, rn) FILTER (source = 'user' AND action = 'message' AND {_ARG} IS NOT NULL) AS task, arg_max(extras.model, rn) FILTER (extras.model <> '') AS model, arg_max(extras.agent_class, rn) FILTER (extras.agent_class <> '') AS agent_class,
+  arg_max(extras.instance_id, rn) FILTER (extras.instance_id <> '') AS instance_id, arg_max(extras.max_iterations, rn) FILTER (extras.max_iterations IS NOT NULL) AS max_iterations FROM e GROUP BY log_id""",
     "s30_profiles": f"SELECT * FROM {_rows(dims.tool_rows(), 'domain, tool, category, stateful_key')}",
     "f1_filter_tasks": _TASKS + "SELECT task_id FROM tasks WHERE lower(language) = 'python' AND lower(difficulty) = 'medium' AND lower(type) = 'bug_fix'",
     "f3_listing": _CAS + "SELECT content_hash, reward FROM one ORDER BY reward DESC NULLS LAST, content_hash LIMIT 100 OFFSET 50",
@@ -127,9 +133,7 @@ SELECT 'Solve the following task:' || chr(10) || chr(10) || 'Task ID: ' || task_
     "r5_efficiency": _S + "SELECT traj_id, round(least(1.0, 8.0 / n_steps), 6)::DOUBLE AS efficiency FROM trajs",
     "r6_outcome": "SELECT o_orderkey, round(coalesce(CASE WHEN o_orderstatus = 'P' THEN greatest(0.0, least(1.0, o_totalprice / 200000)) END, CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 7) / (o_custkey % 5) END, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) + 1e-9, 6)::DOUBLE AS score FROM orders",
     "r7_rewards": _R + "SELECT traj_id, task_id, outcome, round(process + 1e-9, 6) AS process, efficiency::DOUBLE AS efficiency, reward FROM w",
-    "r10_rescored": _R + "SELECT traj_id, CASE WHEN user_id % 3 = 0 THEN reward ELSE mean_value END AS reward FROM w",
     "r11_prefix_scores": _R + "SELECT traj_id, ord, round(step_total, 6) AS step_total FROM st",
-    "j1_prompts": _S + "SELECT traj_id, ord, 'Domain: coding' || chr(10) || 'Task: (no description)' || chr(10) || 'Tool: ' || tool || chr(10) || 'Parameters: ' || params_text || chr(10) || 'Output: ' || output AS prompt FROM b",
     "j2_sampled_steps": _S + "SELECT b.traj_id, ord FROM b JOIN trajs USING (traj_id) WHERE n_steps <= 30 OR ord < 5 OR ord >= n_steps - 5 OR ((ord - 5) % greatest(1, (n_steps - 10) // 21) = 0 AND (ord - 5) // greatest(1, (n_steps - 10) // 21) < 20)",
     "j6_median_filled": _S
     + """, q AS (SELECT traj_id, ord, CASE WHEN ord % 3 <> 2 THEN round(value, 2) END AS score FROM b), s2 AS (SELECT traj_id, list_sort(list(score) FILTER (score IS NOT NULL)) AS l FROM q GROUP BY traj_id)
@@ -146,10 +150,6 @@ q3 AS (SELECT *, lead(traj_id) OVER o AS n_id, lead(reward) OVER o AS n_reward F
 SELECT task_id, traj_id AS chosen, n_id AS rejected, round(reward - n_reward + 1e-9, 4) AS margin FROM q3 WHERE n_id IS NOT NULL ORDER BY task_id, chosen LIMIT 10""",
     "pg6_summary": _OUT + "SELECT count(*) AS n_pairs, count(DISTINCT task_id) AS n_tasks, round(coalesce(avg(round(m, 6)), 0), 4) AS avg_margin, round(coalesce(min(round(m, 6)), 0), 4) AS min_margin, round(coalesce(max(round(m, 6)), 0), 4) AS max_margin FROM oi",
     "pg7_by_task": _R + ", q AS (SELECT * FROM w WHERE reward BETWEEN 0.4 AND 0.9 AND task_id <> '' ORDER BY task_id, reward DESC, traj_id LIMIT 300) SELECT task_id, traj_id, reward FROM q QUALIFY count(*) OVER (PARTITION BY task_id) >= 2",
-    "pg8_groups": _OUT + "SELECT task_id, count(*) AS n, arg_min(traj_id, rn) AS prompt_of, string_agg(traj_id, ',' ORDER BY rn) AS members FROM rk WHERE n >= 2 AND rn <= 4 GROUP BY task_id",
-    "pg9_all_members": _OUT + "SELECT task_id, count(*) AS n, arg_min(traj_id, rn) AS prompt_of, string_agg(traj_id, ',' ORDER BY rn) AS members FROM rk WHERE n >= 2 GROUP BY task_id",
-    "pg10_benchmark": _R + "SELECT task_id, min(traj_id) AS first_run, count(*) AS runs, round(min(reward), 2) AS low, round(max(reward), 2) AS high FROM w GROUP BY task_id",
-    "pg13_resume": "SELECT c_custkey AS task_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "pg14_task_agents": _S + "SELECT DISTINCT task_id, agent FROM trajs, (VALUES ('openhands'), ('sweagent'), ('crew')) a(agent)",
     "pg16_tool_difference": _S
     + """SELECT coalesce((SELECT string_agg(tool, ',' ORDER BY tool) FROM (SELECT DISTINCT tool FROM b WHERE traj_id = 't1-w0' EXCEPT SELECT tool FROM b WHERE traj_id = 't2-w0')), '') AS only_a,
@@ -168,7 +168,6 @@ SELECT a, b, t, effect, p, significant, CASE p WHEN 'p<0.001' THEN 0.001 WHEN 'p
     "d1_deduplicated": _R
     + """, h AS (SELECT traj_id, left(sha256('[' || string_agg('{"output": "' || output || '", "params": {"path": "' || target || '"}, "tool": "' || tool || '"}', ', ' ORDER BY ord) || ']'), 16) AS content_hash FROM b GROUP BY traj_id)
 SELECT content_hash, count(*) AS rows, arg_min(task_id, (created_at, reward)) AS task_id, max(reward) AS reward FROM w JOIN h USING (traj_id) GROUP BY content_hash""",
-    "d2_content_hash": _S + """SELECT traj_id, left(sha256('[' || string_agg('{"output": "' || output || '", "params": {"path": "' || target || '"}, "tool": "' || tool || '"}', ', ' ORDER BY ord) || ']'), 16) AS content_hash FROM b GROUP BY traj_id""",
     "d3_desirability": _GDI + "SELECT traj_id, round(i + 1e-9, 4)::DOUBLE AS intrinsic, round(u + 1e-9, 4)::DOUBLE AS utility, 0.5::DOUBLE AS feedback, round(f + 1e-9, 4)::DOUBLE AS freshness, round(0.35 * i + 0.30 * u + 0.20 * 0.5 + 0.15 * f + 1e-9, 4)::DOUBLE AS total FROM g",
     "d4_ranked": _GDI + "SELECT traj_id, round(0.35 * i + 0.30 * u + 0.20 * 0.5 + 0.15 * f + 1e-9, 4)::DOUBLE AS total FROM g",
     "d6_feedback": _CAS
@@ -181,13 +180,10 @@ SELECT content_hash, count(*) AS rows, arg_min(task_id, (created_at, reward)) AS
     + """SELECT agent_model, n, round(m, 4) AS mean, round(s, 4) AS std, round(lo, 4) AS min, round(hi, 4) AS max, bin0, bin1, bin2, bin3, round(m - half, 4) AS ci_low, round(m + half, 4) AS ci_high, round(p, 4) AS success_rate,
   round((p + z * z / (2 * n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 4) AS wilson_low, round((p + z * z / (2 * n) + z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 4) AS wilson_high FROM h""",
     "a6_leaderboard": _R + ", q AS (SELECT agent_model, count(*) AS n, round(avg(reward), 6) AS avg_reward, round(avg(success), 6) AS success_share FROM w GROUP BY 1) SELECT *, row_number() OVER (ORDER BY avg_reward DESC, agent_model) AS place FROM q",
-    "a8_validation": """WITH q AS (SELECT count(*) AS total, count(*) FILTER (trim(coalesce(instruction, '')) = '') AS no_instruction, count(*) FILTER (trim(coalesce(response, '')) = '') AS no_response, min(length(coalesce(response, ''))) AS min_length, max(length(coalesce(response, ''))) AS max_length,
-  round(avg(length(coalesce(response, ''))), 2) AS avg_length, count(*) FILTER (length(coalesce(response, '')) > 16384) AS too_long, count(*) FILTER (isnan(reward)) AS bad_reward, count(*) FILTER (reward = 0) AS zero_reward FROM sft_records)
-SELECT *, total > 0 AND no_instruction / total <= 0.05 AND no_response / total <= 0.05 AND bad_reward = 0 AS valid FROM q""",
     "a9_datacard": _R + "SELECT employee, count(*) AS n, round(avg(success), 4) AS success_rate, round(avg(reward), 4) AS avg_reward, round(avg(n_steps), 4) AS avg_steps, count(DISTINCT agent_model) AS models FROM w GROUP BY employee",
     "a10_calibration": _CAL
     + """, r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM xy)
-SELECT count(*) AS n, round(corr(x, y), 4) AS pearson, round(corr(rx, ry), 4) AS spearman, round(avg(abs(x - y)), 4) AS mae, round(max(abs(x - y)), 4) AS max_error FROM r""",
+SELECT count(*) AS n, round(corr(x, y), 4) AS pearson, round(corr(rx, ry), 4) AS spearman, round(avg(abs(x - y)), 4) AS mae, round(max(abs(x - y)), 4) AS max_error, round(min(abs(x - y)), 4) AS min_error FROM r""",
     "a13_agreement": _CAL + ", i AS (SELECT *, row_number() OVER (ORDER BY x, y) AS k FROM xy) SELECT count(*) AS pairs, round(avg(CASE WHEN sign(a.x - c2.x) = sign(a.y - c2.y) THEN 1 ELSE 0 END), 4) AS agreement FROM i a JOIN i c2 ON a.k < c2.k",
     "a15_advantages": _R + ", q AS (SELECT traj_id, reward, count(*) OVER p AS n, avg(reward) OVER p AS m, stddev_samp(reward) OVER p AS s FROM w WINDOW p AS (PARTITION BY task_id)) SELECT traj_id, round((reward - m) / (s + 1e-8), 4) AS advantage FROM q WHERE n >= 2",
     "a16_step_weights": _R + "SELECT traj_id, ord, round(step_total / (avg(step_total) OVER (PARTITION BY traj_id) + 1e-8), 4) AS step_weight FROM st",
@@ -215,8 +211,6 @@ SELECT iteration, mean, iteration - max(CASE WHEN better THEN iteration END) OVE
 SELECT user_id, count(*) AS n_events, round(sum(value), 4) AS total FROM k GROUP BY user_id, sess""",
     "e4_steps_text": _TEXT + "SELECT traj_id, text FROM x",
     "e11_actions": _S + """SELECT traj_id, ord, tool, '{"' || CASE tool WHEN 'read_file' THEN 'file_path' WHEN 'edit_file' THEN 'file_path' WHEN 'bash' THEN 'command' WHEN 'grep' THEN 'pattern' ELSE 'conclusion' END || '":"' || target || '"}' AS params FROM b""",
-    "e13_memories": f"""WITH q AS (SELECT DISTINCT log_id, id, {_ARG} AS t FROM messages WHERE action = 'message') SELECT DISTINCT log_id, id, CASE WHEN regexp_matches(t, '决定|统一|不再|确定|方案定|最终选|采用|弃用|禁止') THEN 'decision' WHEN regexp_matches(t, '其实|说错了|纠正|更正|之前错|搞错|误解|实际上应该') THEN 'correction' WHEN id >= 3 AND length(t) > 200 THEN 'finding' END AS category
-FROM q WHERE regexp_matches(t, '决定|统一|不再|确定|方案定|最终选|采用|弃用|禁止|其实|说错了|纠正|更正|之前错|搞错|误解|实际上应该') OR (id >= 3 AND length(t) > 200)""",
     "e14_shortened": "SELECT doc_id, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || chr(10) || '... (truncated, ' || length(text) || ' chars total)' ELSE text END AS text FROM documents",
     "e16_chunks": _chunks(_S, "b", "length(output) + k", 200),
     "e16_order_chunks": _chunks(_ORD, "o", "length", 120),

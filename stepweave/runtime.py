@@ -13,10 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder the cluster names in ``spark.checkpoint.dir``; sets one of its own only where none is named."""
+    """Keeps the folder the cluster names in ``spark.checkpoint.dir``. Only a session in one process, as in tests, gets a folder of its own; on a cluster a folder that isn't named is an error, as the executors couldn't share one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stepweave-checkpoint-"))
 
 

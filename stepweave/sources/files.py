@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STEP_TYPE = "STRUCT<step_id: INT, thought: STRING, tool: STRING, params: STRING, output: STRING, exit_code: INT, action: STRING, observation: STRING, tool_call: STRUCT<name: STRING, parameters: STRING>, tool_result: STRUCT<output: STRING, exit_code: INT, error: STRING>>"
@@ -37,15 +37,19 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREFERENCE).option("multiLine", first is not None and first[0] == "[").json(path)
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks from JSON lines with defaults: id by line, bug_fix, python, medium; bad lines are left out."""
-    lines = spark.read.text(path, wholetext=False).withColumn("_id", F.monotonically_increasing_id())
-    rows = lines.where("trim(value) <> ''").withColumn("t", F.from_json("value", TASK)).where(F.try_parse_json("value").isNotNull())
-    rows = rows.withColumn("_line", F.row_number().over(Window.orderBy("_id")) - 1)  # a task list is a small file
+def tasks_of(lines: DataFrame) -> DataFrame:
+    """Tasks of JSON texts (value, line) with defaults: id by the line's place in the file, counted from 0 over all lines, bug_fix, python, medium; bad lines are left out."""
+    rows = lines.withColumn("_line", F.row_number().over(Window.orderBy("line")) - 1)  # a task list is a small file
+    rows = rows.where("trim(value) <> ''").withColumn("t", F.from_json("value", TASK)).where(F.try_parse_json("value").isNotNull())
     default = lambda c, v: F.coalesce(F.col(f"t.{c}"), v).alias(c)
     return rows.select(default("task_id", F.concat(F.lit("task_"), F.col("_line").cast("string"))), default("description", F.lit("")), default("type", F.lit("bug_fix")), default("language", F.lit("python")), default("difficulty", F.lit("medium")), default("repo", F.lit("")), default("base_commit", F.lit("")), default("test_command", F.lit("")))
 
 
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """The tasks of a file of JSON lines; a missing file is an error."""
+    return tasks_of(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+
+
 def filter_tasks(tasks: DataFrame, language: str | None = None, difficulty: str | None = None, kind: str | None = None) -> DataFrame:
     """Tasks equal, without regard to case, to all that is given."""
     for name, value in (("language", language), ("difficulty", difficulty), ("type", kind)):
@@ -56,3 +60,23 @@ def filter_tasks(tasks: DataFrame, language: str | None = None, difficulty: str
 
 def write_lines(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").json(path)
+
+
+def user_message(message: Column, context: Column, description: Column) -> Column:
+    """The first of a task's message, context and description that isn't empty, else ''."""
+    filled = lambda c: F.when(c != "", c)
+    return F.coalesce(filled(message), filled(context), filled(description), F.lit(""))
+
+
+def task_errors(domain: Column, repo: Column, base_commit: Column) -> Column:
+    """array of what a task lacks: coding needs a repository and a commit."""
+    gone = lambda c: F.coalesce(c, F.lit("")) == ""
+    return F.array_compact(F.array(F.when((domain == "coding") & gone(repo), "no repository"), F.when((domain == "coding") & gone(base_commit), "no base commit")))
+
+
+def benchmark_tasks(rows: DataFrame) -> DataFrame:
+    """Tasks of a benchmark's rows (instance_id, problem_statement, repo, base_commit, patch): fixes in Python, as difficult as their patch is long."""
+    from stepweave.operators.export import difficulty_of_patch
+
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return rows.select(blank("instance_id").alias("task_id"), blank("problem_statement").alias("description"), F.lit("bug_fix").alias("type"), F.lit("python").alias("language"), difficulty_of_patch(blank("patch")).alias("difficulty"), blank("repo").alias("repo"), blank("base_commit").alias("base_commit"))

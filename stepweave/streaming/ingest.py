@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 
@@ -15,9 +14,13 @@ from pyspark.sql.types import StructType
 from stepweave.operators import store
 
 
+#: Bytes of a batch, at most, unless one line alone is longer.
+BATCH_BYTES = 8 << 20
+
+
 class _TailReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, most: int = BATCH_BYTES) -> None:
+        self.path, self.most = path, most
 
     def initialOffset(self) -> dict:
         return {"at": 0}
@@ -28,7 +31,9 @@ class _TailReader(SimpleDataSourceStreamReader):
             at = 0  # the file was begun anew
         with open(self.path, "rb") as f:
             f.seek(at)
-            data = f.read(size - at)
+            data = f.read(min(self.most, size - at))
+            while b"\n" not in data and at + len(data) < size:  # one line is longer than a batch
+                data += f.read(self.most)
         end = data.rfind(b"\n") + 1  # a line without its end stays for the next batch
         return [(x.decode("utf-8", "replace"),) for x in data[:end].split(b"\n") if x.strip()], at + end
 
@@ -59,7 +64,7 @@ class JsonLinesTail(DataSource):
         return "value string"
 
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
-        return _TailReader(self.options["path"])
+        return _TailReader(self.options["path"], int(self.options.get("maxBytesPerBatch", BATCH_BYTES)))
 
 
 def tail(spark: SparkSession, path: str) -> DataFrame:
@@ -68,27 +73,40 @@ def tail(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("stepweave_tail").option("path", path).load()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def upsert_into(path: str):
-    """For ``foreachBatch``: merges each batch of store rows into the parquet store at ``path``, by version folders and a pointer that is moved last, so that a batch run again changes nothing."""
+    """For ``foreachBatch``: writes each batch of store rows, one a content hash, as a folder of its own below ``path`` on any file system of the cluster. A batch costs what it holds, nothing is rewritten, and a batch run again changes nothing."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        pointer = os.path.join(path, "current.json")
-        state = json.load(open(pointer, encoding="utf-8")) if os.path.exists(pointer) else {"batch": -1}
-        if batch_id <= state["batch"]:
-            return
-        target = os.path.join(path, f"v{batch_id}")
-        old = batch.sparkSession.read.parquet(state["at"]) if "at" in state else batch.limit(0)
-        store.upsert(old, batch).write.mode("overwrite").parquet(target)
-        with open(pointer + ".new", "w", encoding="utf-8") as f:
-            json.dump({"batch": batch_id, "at": target}, f)
-        os.replace(pointer + ".new", pointer)
+        target = f"{path}/batch={batch_id}"
+        if not _exists(batch.sparkSession, f"{target}/_SUCCESS"):
+            store.upsert(batch.limit(0), batch).write.mode("overwrite").parquet(target)
 
     return merge
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The store that ``upsert_into`` keeps: of each hash the first batch's row with the highest reward of all. Rows are merged by partial aggregation, so no hash is gathered."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in ("content_hash", "reward", "batch")]
+    first = F.min_by(F.struct(*rest), F.struct("batch", "created_at"))
+    return rows.groupBy("content_hash").agg(first.alias("_f"), F.max(F.when(~F.isnan("reward"), F.col("reward"))).alias("reward")).select("content_hash", "reward", "_f.*")
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """The merged store as one batch at ``target``, from which new batches may go on."""
+    read_store(spark, path).write.mode("overwrite").parquet(f"{target}/batch=0")
+
+
 def episode_sums(steps: DataFrame, timeout: str = "1 hour") -> DataFrame:
     """A stream of (episode, steps, total, done) from a stream of (episode, reward, done, at): emitted when an episode is done, or given up after ``timeout`` of event time without an event, which the batch form doesn't know."""
 
+    wait = int(steps.sparkSession.range(1).select((F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {timeout}"))).alias("ms")).first()["ms"])
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, total = state.get if state.exists else (0, 0.0)
         if state.hasTimedOut:
@@ -104,7 +122,7 @@ def episode_sums(steps: DataFrame, timeout: str = "1 hour") -> DataFrame:
             yield pd.DataFrame({"episode": [key[0]], "steps": [n], "total": [round(total, 4)], "done": [True]})
         else:
             state.update((n, total))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + wait)
 
     marked = steps.withWatermark("at", timeout)
     return marked.groupBy("episode").applyInPandasWithState(run, "episode string, steps bigint, total double, done boolean", "n bigint, total double", "update", "EventTimeTimeout")
