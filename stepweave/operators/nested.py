@@ -19,6 +19,9 @@ from stepweave.functions import deepjson
 #: A merged schema with more paths isn't used: its keys are data then, and the set would grow with the rows. The walk goes on without it, to the same rows.
 MAX_PATHS = 200_000
 
+#: Characters of a path up to which the merged schema has it; what lies deeper is opened wherever there is something to open, to the same rows.
+LONG = 1024
+
 _DOCUMENT = re.compile(r'\s*[\[{"]')
 _ACTION = re.compile(r"[^\s(]*")
 
@@ -74,12 +77,13 @@ def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if isinstance(v, dict):
                     fresh.add((at, inside + "object"))
                     for k, x in v.items():
-                        if isinstance(x, (dict, list, str)):
-                            stack.append((f"{at}.{k}" if at else k, x))
+                        if isinstance(x, (dict, list, str)) and len(inner := f"{at}.{k}" if at else k) <= LONG:
+                            stack.append((inner, x))
                 elif isinstance(v, list):
                     fresh.add((at, inside + "array"))
                     inner = at + "[]"
-                    stack.extend((inner, x) for x in v if isinstance(x, (dict, list, str)))
+                    if len(inner) <= LONG:
+                        stack.extend((inner, x) for x in v if isinstance(x, (dict, list, str)))
         fresh -= seen
         seen |= fresh
         if fresh:
@@ -103,11 +107,15 @@ _NODES = "record_key string, array_path string, path string, parent_path string,
 def _explode(paths: frozenset[str] | None):
     """Opens the arrays level by level along the merged schema ``paths`` (None: wherever there is something to open)."""
 
+    def opens(general: str) -> bool:
+        return paths is None or len(general) > LONG or general in paths
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             for key, general, root, parent, text in zip(batch["record_key"], batch["path"], batch["exact"], batch["parent"], batch["text"]):
-                level: list[tuple] = [(general, root, parent, text, "", -1)]
+                # A path is a chain of pieces, written out only where a row needs it.
+                level: list[tuple] = [(general, (None, root), parent, text, "", -1)]
                 while level:
                     below: list[tuple] = []
                     for at, path, up, v, array, ordinal in level:
@@ -115,23 +123,41 @@ def _explode(paths: frozenset[str] | None):
                             v = load(v)
                         if isinstance(v, dict):
                             if ordinal >= 0 and _is_step(v):
-                                out.append((key, array, path, up, ordinal, True, _leaf(v), False))
-                                up = path
+                                own = _written(path)
+                                out.append((key, array, own, up, ordinal, True, _leaf(v), False))
+                                up = own
                             for k, x in v.items():
                                 if isinstance(x, str) and k == "url":
-                                    out.append((key, array, f"{path}.{k}" if path else k, up, ordinal, False, x, True))
+                                    out.append((key, array, _written((path, k)), up, ordinal, False, x, True))
                                 if isinstance(x, (dict, list, str)):
-                                    inner = f"{at}.{k}" if at else k
-                                    if paths is None or inner in paths:
-                                        below.append((inner, f"{path}.{k}" if path else k, up, x, array, -1))
-                        elif isinstance(v, list) and ((inner := at + "[]") in (paths or ()) or paths is None):
-                            below.extend((inner, f"{path}[{i}]", up, x, inner, i) for i, x in enumerate(v) if isinstance(x, (dict, list, str)))
+                                    inner = at if len(at) > LONG else f"{at}.{k}" if at else k
+                                    if opens(inner):
+                                        below.append((inner, (path, k), up, x, array, -1))
+                        elif isinstance(v, list):
+                            inner = at if len(at) > LONG else at + "[]"
+                            if opens(inner):
+                                below.extend((inner, (path, i), up, x, inner, i) for i, x in enumerate(v) if isinstance(x, (dict, list, str)))
                     level = below
             yield pd.DataFrame(out, columns=["record_key", "array_path", "path", "parent_path", "ordinal", "step", "leaf", "url"]).astype({"step": bool, "url": bool})
 
     return run
 
 
+def _written(path: tuple | None) -> str:
+    """The text of a chain of pieces: keys (or the root's own text) behind dots, numbers in brackets."""
+    pieces: list[str | int] = []
+    while path is not None:
+        path, piece = path
+        pieces.append(piece)
+    out: list[str] = []
+    for piece in reversed(pieces):
+        if isinstance(piece, int):
+            out.append(f"[{piece}]")
+        elif piece or len(out) > 0:
+            out.append(f".{piece}" if any(out) else piece)
+    return "".join(out)
+
+
 def child_tables(roots: DataFrame) -> DataFrame:
     """All child tables in one, told apart by ``array_path``: a row for each step and each address of ``roots`` (record_key, path, exact, parent, text)."""
     paths = _collect_schema(roots)
@@ -181,7 +207,7 @@ def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     todo.extend((f"{general}.{k}" if general else k, f"{path}.{k}" if path else k, up, x) for k, x in v.items() if isinstance(x, (dict, list, str)))
                 elif isinstance(v, list):
                     for i, x in enumerate(v):
-                        at, whole = f"{path}[{i}]", load(x) if isinstance(x, str) else x
+                        at, whole = f"{path}[{i}]", found if isinstance(x, str) and (found := load(x)) is not None else x
                         own = {k: y for k, y in whole.items() if not isinstance(y, (dict, list))} if isinstance(whole, dict) else None if isinstance(whole, list) else whole
                         out.append((key, general + "[]", at, up, i, None if isinstance(whole, list) else deepjson.dumps(own, sort_keys=True)))
                         if isinstance(whole, (dict, list)):

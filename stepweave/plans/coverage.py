@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from stepweave import derive, dims, sinks
 from stepweave.functions import sanitize
+from stepweave.functions.text import rounded
 from stepweave.operators import episodes, export, judging, nested, pairs, rules, statistics, store, training
 from stepweave.plans import flows
-from stepweave.plans.sql import _CAS, _EV, _OUT, _OUTCOME, _PAIRED, _R, _S, _TASKS, _TEXT, _rows
+from stepweave.plans.sql import _EV, _OUT, _OUTCOME, _R, _S, _TEXT, _rows
 from stepweave.runtime import table
 from stepweave.sources import files, logs, sessions
 
@@ -114,6 +115,13 @@ def _store_rows(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "trajectories").select("task_id", "success", "reward", F.col("total_steps").alias("n_steps"), F.length(F.coalesce("data", F.lit(""))).alias("text_length"))
 
 
+def _task_lines(s: SparkSession, d: str) -> DataFrame:
+    """Parts as lines of a task list, of which some are no JSON."""
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_size") % 4
+    text = F.when(kind == 0, "not json").when(kind == 1, F.concat(F.lit('{"task_id": "p'), key, F.lit('", "language": "Go"}'))).when(kind == 2, F.concat(F.lit('{"description": "part '), key, F.lit('", "difficulty": "hard"}'))).otherwise("{}")
+    return table(s, d, "part").select(text.alias("value"), F.col("p_partkey").alias("line"))
+
+
 def _replies(s: SparkSession, d: str) -> DataFrame:
     """Replies of a judge in several states: plain, fenced, cut off, without scores, no JSON."""
     o = table(s, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 300000, 2).alias("v"))
@@ -159,7 +167,7 @@ def queries() -> dict[str, Query]:
     coding = [(i, w) for r, i, w, _ in dims.rubric_rows() if r == "default"]
     return {
         # Sources and adapters
-        "s8_tasks": lambda s, d: files.tasks_of(s.sql("SELECT CASE p_size % 4 WHEN 0 THEN 'not json' WHEN 1 THEN concat('{\"task_id\": \"p', p_partkey, '\", \"language\": \"Go\"}') WHEN 2 THEN concat('{\"description\": \"part ', p_partkey, '\", \"difficulty\": \"hard\"}') ELSE '{}' END AS value, p_partkey AS line FROM {p}", p=table(s, d, "part"))),
+        "s8_tasks": lambda s, d: files.tasks_of(_task_lines(s, d)),
         "s9_benchmark_tasks": lambda s, d: files.benchmark_tasks(s.sql("SELECT concat('i-', p_partkey) AS instance_id, p_name AS problem_statement, p_brand AS repo, CAST(NULL AS STRING) AS base_commit, repeat('x\n', p_size) AS patch FROM {p}", p=table(s, d, "part"))),
         "s12_valid_logs": lambda s, d: logs.valid_event_logs(_events(s, d)),
         "s17_valid_documents": lambda s, d: logs.valid_swe(_swe(s, d).unionByName(_swe(s, d).select(F.concat("doc", F.lit("-x")).alias("doc"), F.lit('{"history": []}').alias("value")))),
@@ -193,7 +201,7 @@ def queries() -> dict[str, Query]:
         "d5_stored_scores": lambda s, d: flows.store_and_score(flows.hashed(_rewarded(s, d), _steps(s, d)), _now()),
         # Judge
         "j1_prompts": lambda s, d: _steps(s, d).select("traj_id", "ord", judging.judge_prompt(F.when(F.col("user_id") % 2 == 0, "advisory").otherwise("coding"), F.lit(""), F.col("tool"), F.col("params_text"), F.repeat("output", F.lit(120)), F.col("ord") + 1, F.lit(9), F.lit(""), coding).alias("prompt")),
-        "j3_contexts": lambda s, d: judging.judge_context(_steps(s, d).withColumn("score", F.when(F.col("k") % 3 > 0, F.round("value", 2) / 100))).select("traj_id", "ord", "context"),
+        "j3_contexts": lambda s, d: judging.judge_context(_steps(s, d).withColumn("score", F.when(F.col("k") % 3 > 0, rounded(F.col("value") / 100, 2)))).select("traj_id", "ord", "context"),
         "j4_scores": lambda s, d: judging.parsed_replies(_replies(s, d), "reply", ["goal", "tool", "late"]).select("o_orderkey", F.element_at("scores", 1).alias("goal"), F.element_at("scores", 2).alias("tool"), F.element_at("scores", 3).alias("late"), F.round(judging.weighted_score(F.col("scores"), [("goal", 0.5), ("tool", 0.3), ("late", 0.2)]), 6).alias("score")),
         "j5_without_judge": lambda s, d: judging.judged(_steps(s, d), ["a", "b"]).select("traj_id", "ord", F.element_at("scores", 1).alias("a"), F.element_at("scores", 2).alias("b")),
         # Pairs and groups
@@ -341,7 +349,7 @@ def oracle_sql() -> dict[str, str]:
     board = ORACLES["a6_leaderboard"].split("SELECT *, row_number()")[0]
     welch = ORACLES["pg18_pairwise"]
     return {
-        "s8_tasks": """WITH t AS (SELECT p_partkey, p_size % 4 AS c, row_number() OVER (ORDER BY p_partkey) - 1 AS line FROM part)
+        "s8_tasks": """WITH t AS (SELECT p_partkey, p_size % 4 AS c, row_number() OVER (ORDER BY p_partkey) AS line FROM part)
 SELECT CASE c WHEN 1 THEN 'p' || p_partkey ELSE 'task_' || line END AS task_id, CASE c WHEN 2 THEN 'part ' || p_partkey ELSE '' END AS description, 'bug_fix' AS type, CASE c WHEN 1 THEN 'Go' ELSE 'python' END AS language, CASE c WHEN 2 THEN 'hard' ELSE 'medium' END AS difficulty, '' AS repo, '' AS base_commit, '' AS test_command FROM t WHERE c <> 0""",
         "s9_benchmark_tasks": "SELECT 'i-' || p_partkey AS task_id, p_name AS description, 'bug_fix' AS type, 'python' AS language, CASE WHEN p_size + 1 < 10 THEN 'easy' WHEN p_size + 1 < 50 THEN 'medium' ELSE 'hard' END AS difficulty, p_brand AS repo, '' AS base_commit FROM part",
         "s12_valid_logs": _EV + "SELECT log_id, action IS NOT NULL OR observation IS NOT NULL AS valid FROM e WHERE rn = 1",
@@ -391,7 +399,7 @@ SELECT log_id, coalesce(instance_id, log_id) AS task_id, 'openhands' AS agent_fr
         + f"""SELECT traj_id, ord, CASE WHEN user_id % 2 = 0 THEN 'You judge one step of an agent that prepares advice.' ELSE 'You judge one step of an agent that works on code.' END || chr(10) || 'Task: (no description)' || chr(10) || 'Step: ' || (ord + 1) || '/9' || chr(10) || 'Tool: ' || tool || chr(10) || 'Parameters: ' || params_text || chr(10) || 'Output: '
   || CASE WHEN length(repeat(output, 120)) > 2000 THEN left(repeat(output, 120), 2000) || chr(10) || '... (truncated)' ELSE repeat(output, 120) END || chr(10) || 'Before:' || chr(10) || '(first step)' || chr(10) || 'Rubrics, each from 0 to 1:{rubric_text}' || chr(10) || 'Reply with JSON alone: {{"scores": {{"rubric": score}}, "rationale": "..."}}' AS prompt FROM b""",
         "j3_contexts": _S
-        + """, q AS (SELECT *, 'Step ' || (ord + 1) || ': ' || tool || CASE WHEN k % 3 > 0 THEN printf(' -> score=%.2f', round(value, 2) / 100) ELSE ' (skipped)' END AS line FROM b)
+        + """, q AS (SELECT *, 'Step ' || (ord + 1) || ': ' || tool || CASE WHEN k % 3 > 0 THEN printf(' -> score=%.2f', round(value / 100 + 1e-9, 2)) ELSE ' (skipped)' END AS line FROM b)
 SELECT traj_id, ord, coalesce((SELECT string_agg(line, chr(10) ORDER BY p.ord) FROM q p WHERE p.traj_id = q.traj_id AND p.ord >= q.ord - 5 AND p.ord < q.ord), '') AS context FROM q""",
         "j4_scores": f"SELECT o_orderkey, {_SPLIT}::DOUBLE AS goal, (CASE WHEN o_orderkey % 5 < 3 THEN 1.0 ELSE 0.5 END)::DOUBLE AS tool, 0.5::DOUBLE AS late, round((0.5::DOUBLE * {_SPLIT}::DOUBLE + 0.3::DOUBLE * (CASE WHEN o_orderkey % 5 < 3 THEN 1.0 ELSE 0.5 END)::DOUBLE + 0.1::DOUBLE), 6) AS score FROM orders",
         "j5_without_judge": _S + "SELECT traj_id, ord, 0.5::DOUBLE AS a, 0.5::DOUBLE AS b FROM b",
@@ -441,7 +449,7 @@ i AS (SELECT *, concat_ws('; ', CASE WHEN no_task_id / total > 0.05 THEN 'task_i
         "e5_tool_text": _S + "SELECT traj_id, string_agg(concat_ws(chr(10), 'Step ' || (ord + 1) || ':', CASE WHEN k % 2 = 0 THEN 'Thought: hm' END, 'Tool: ' || tool || '(' || params_text || ')', 'Output: ' || CASE WHEN length(repeat(output, 40)) > 500 THEN left(repeat(output, 40), 500) || '...' ELSE repeat(output, 40) END), chr(10) || chr(10) ORDER BY ord) AS text FROM b GROUP BY traj_id",
         "e7_structured": _S + "SELECT traj_id, ord::INT AS ord, '' AS thought, tool || '(' || target || ')' AS action, output AS observation FROM b",
         "e10_summaries": _S + "SELECT traj_id, string_agg('Step ' || (ord + 1) || ':' || CASE WHEN k % 2 = 0 THEN ' hm' ELSE '' END || ' -> ' || tool, chr(10) ORDER BY ord) AS summary FROM b WHERE ord < 3 GROUP BY traj_id",
-        "e18_labels": _S + ", q AS (SELECT traj_id, ord, 3 + 8 * ord AS s FROM b), z AS (SELECT traj_id, least(64, 3 + max(8 * (ord + 1))) AS n FROM q GROUP BY traj_id) SELECT traj_id, n::INT AS n_ids, (sum(greatest(0, least(n, s + 3) - least(n, s))))::INT AS n_labels FROM q JOIN z USING (traj_id) GROUP BY traj_id, n",
+        "e18_labels": _S + ", q AS (SELECT traj_id, ord, 3 + 7 * ord AS s FROM b), z AS (SELECT traj_id, least(64, 3 + max(7 * (ord + 1))) AS n FROM q GROUP BY traj_id) SELECT traj_id, n::INT AS n_ids, (sum(greatest(0, least(n, s + 3) - least(n, s))))::INT AS n_labels FROM q JOIN z USING (traj_id) GROUP BY traj_id, n",
         "e19_padded": _S + ", q AS (SELECT traj_id, least(6, n_steps) AS n0 FROM trajs) SELECT traj_id, (max(n0) OVER (PARTITION BY left(traj_id, 2)))::INT AS n, n0::INT AS n_real FROM q",
         "g7_chunk_weights": "WITH RECURSIVE " + ORACLES["e16_chunks"].split("WITH RECURSIVE ", 1)[1].rsplit("SELECT traj_id, chunk, min(ord)", 1)[0].rstrip()
         + """, cs AS (SELECT traj_id, chunk, min(ord) AS first_ord, max(ord) AS last_ord, CASE WHEN chunk = 0 THEN 0 ELSE greatest(min(ord) - 1, 0) END AS context_from FROM k GROUP BY traj_id, chunk)

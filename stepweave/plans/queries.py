@@ -147,7 +147,7 @@ def _queries() -> dict[str, Query]:
         "j6_median_filled": lambda s, d: judging.fill_with_median(base_steps(s, d).select("traj_id", "ord", F.when(F.col("ord") % 3 != 2, F.round("value", 2)).alias("score"))),
         # Pairs and groups
         "pg1_adjacent": lambda s, d: pairs.adjacent_pairs(rewarded(s, d)),
-        "pg2_outside_in": lambda s, d: pairs.outside_in_pairs(rewarded(s, d)),
+        "pg2_outside_in": lambda s, d: pairs.outside_in_pairs(rewarded(s, d).drop("outcome")),
         "pg3_adjacent_ties": lambda s, d: pairs.adjacent_pairs(rewarded(s, d), keep_ties=True, digits=4),
         "pg4_by_employee": lambda s, d: pairs.adjacent_pairs(rewarded(s, d), by="employee"),
         "pg5_judge_batch": lambda s, d: pairs.judged_candidates(rewarded(s, d)),

@@ -38,8 +38,8 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tasks_of(lines: DataFrame) -> DataFrame:
-    """Tasks of JSON texts (value, line) with defaults: id by the line's place in the file, counted from 0 over all lines, bug_fix, python, medium; bad lines are left out."""
-    rows = lines.withColumn("_line", F.row_number().over(Window.orderBy("line")) - 1)  # a task list is a small file
+    """Tasks of JSON texts (value, line) with defaults: id by the line's place in the file, counted from 1 over all lines, bug_fix, python, medium; bad lines are left out."""
+    rows = lines.withColumn("_line", F.row_number().over(Window.orderBy("line")))  # a task list is a small file
     rows = rows.where("trim(value) <> ''").withColumn("t", F.from_json("value", TASK)).where(F.try_parse_json("value").isNotNull())
     default = lambda c, v: F.coalesce(F.col(f"t.{c}"), v).alias(c)
     return rows.select(default("task_id", F.concat(F.lit("task_"), F.col("_line").cast("string"))), default("description", F.lit("")), default("type", F.lit("bug_fix")), default("language", F.lit("python")), default("difficulty", F.lit("medium")), default("repo", F.lit("")), default("base_commit", F.lit("")), default("test_command", F.lit("")))

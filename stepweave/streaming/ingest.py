@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from stepweave.operators import store
+from stepweave.operators.ranking import distributed_row_number
+from stepweave.sources import logs
 
 
 #: Bytes of a batch, at most, unless one line alone is longer.
@@ -102,6 +104,35 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     read_store(spark, path).write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
+def _hub_rows(batch: DataFrame) -> DataFrame:
+    """Trajectories of lines in the crew's layout, with the content hash of their steps; ``ok`` is false for lines that aren't such objects."""
+    kind = "task STRUCT<task_id: STRING, description: STRING, domain: STRING>, agent STRING, model STRING, steps ARRAY<STRUCT<thought: STRING, tool_call: STRUCT<name: STRING, parameters: STRING>, tool_result: STRUCT<output: STRING>>>, outcome STRUCT<success: BOOLEAN, total_steps: INT, reward: DOUBLE>, metadata STRING"
+    rows = batch.select("value", F.from_json("value", kind).alias("t"), (F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")).alias("ok"))
+    flat = rows.select("value", "ok", "t.*", F.sha2("value", 256).alias("traj_id"))
+    return flat.withColumn("content_hash", store.content_hash(F.col("value"))).withColumn("reward", F.coalesce("outcome.reward", F.lit(0.0)))
+
+
+def crew_ingest(path: str):
+    """For ``foreachBatch`` over a tail of crew lines: converts each batch, upserts it into the store at ``path``/store and writes its numbers (ingested, errors) to ``path``/numbers; lines that aren't JSON objects are errors and lost to nobody else."""
+    merge = upsert_into(f"{path}/store")
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        rows = _hub_rows(batch).withColumn("created_at", F.lit(float(batch_id)))
+        good = rows.where("ok AND content_hash IS NOT NULL")
+        merge(good.select("traj_id", "content_hash", "reward", "created_at").join(logs.crew_trajectories(good), "traj_id").drop("traj_id"), batch_id)
+        rows.agg(F.count_if(F.col("ok") & F.col("content_hash").isNotNull()).alias("ingested"), F.count_if(~F.col("ok") | F.col("content_hash").isNull()).alias("errors")).write.mode("overwrite").json(f"{path}/numbers/batch={batch_id}")
+
+    return take
+
+
+def new_lines(spark: SparkSession, path: str, cursor: int) -> tuple[DataFrame, int]:
+    """(the lines of a file from number ``cursor`` on, without blank ones; the next cursor). Lines are numbered from 1."""
+    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
+    numbered = distributed_row_number(lines.withColumn("_all", F.lit(0)), ["_all"], [F.asc("_id")], "line")
+    total = numbered.agg(F.coalesce(F.max("line"), F.lit(0))).first()[0]
+    return numbered.where((F.col("line") >= cursor) & (F.trim("value") != "")).select("value", "line"), total + 1
+
+
 def episode_sums(steps: DataFrame, timeout: str = "1 hour") -> DataFrame:
     """A stream of (episode, steps, total, done) from a stream of (episode, reward, done, at): emitted when an episode is done, or given up after ``timeout`` of event time without an event, which the batch form doesn't know."""
 
@@ -113,8 +144,9 @@ def episode_sums(steps: DataFrame, timeout: str = "1 hour") -> DataFrame:
             state.remove()
             yield pd.DataFrame({"episode": [key[0]], "steps": [n], "total": [round(total, 4)], "done": [False]})
             return
-        ended = False
+        ended, last = False, state.getCurrentWatermarkMs()
         for b in batches:
+            last = max(last, int(b["at"].max().timestamp() * 1000))
             n, total, ended = n + len(b), total + float(b["reward"].sum()), ended or bool(b["done"].any())
         if ended:
             if state.exists:
@@ -122,7 +154,7 @@ def episode_sums(steps: DataFrame, timeout: str = "1 hour") -> DataFrame:
             yield pd.DataFrame({"episode": [key[0]], "steps": [n], "total": [round(total, 4)], "done": [True]})
         else:
             state.update((n, total))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + wait)
+            state.setTimeoutTimestamp(last + wait)
 
     marked = steps.withWatermark("at", timeout)
     return marked.groupBy("episode").applyInPandasWithState(run, "episode string, steps bigint, total double, done boolean", "n bigint, total double", "update", "EventTimeTimeout")

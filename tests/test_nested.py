@@ -72,3 +72,28 @@ def test_merged_schema_names_conflicting_kinds(spark):
     df = spark.createDataFrame([("a", '{"x": [1]}', "", ""), ("b", '{"x": {"y": 1}}', "", ""), ("c", '{"x": "[2]"}', "", "")], TRAJ)
     got = {tuple(r) for r in nested.merged_schema(nested.trajectory_roots(df)).collect()}
     assert {("x", "array"), ("x", "object"), ("x", "text:array")} <= got
+
+
+def test_documents_of_any_depth(spark):
+    doc = '{"a":[' * 30_000 + '{"tool": "x"}' + "]}" * 30_000
+    assert {r.leaf for r in nested.flat_tables(spark.createDataFrame([("h", doc, "x", "y")], TRAJ), spark.createDataFrame([], BROWSER)).select("leaf").collect()} == {"x"}
+
+
+def test_without_a_merged_schema_the_rows_are_the_same(spark, monkeypatch):
+    doc = json.dumps({f"key{i}": {"steps": [{"tool": f"t{i}"}]} for i in range(30)})
+    want = one(spark, doc)
+    monkeypatch.setattr(nested, "MAX_PATHS", 3)
+    assert one(spark, doc) == want and len(want) == 30
+
+
+def test_child_rows(spark):
+    doc = json.dumps({"steps": [{"tool": "a", "n": 1, "parts": [3, [4]]}, "x"], "meta": {"tags": ["u"]}})
+    got = {(r.array_path, r.path, r.parent_path, r.ordinal, r.value) for r in nested.child_rows(spark.createDataFrame([("h", doc, "", "")] * 2, TRAJ)).collect()}
+    assert got == {
+        ("steps[]", "steps[0]", "", 0, '{"n": 1, "tool": "a"}'),
+        ("steps[]", "steps[1]", "", 1, '"x"'),
+        ("steps[].parts[]", "steps[0].parts[0]", "steps[0]", 0, "3"),
+        ("steps[].parts[]", "steps[0].parts[1]", "steps[0]", 1, None),
+        ("steps[].parts[][]", "steps[0].parts[1][0]", "steps[0].parts[1]", 0, "4"),
+        ("meta.tags[]", "meta.tags[0]", "", 0, '"u"'),
+    }

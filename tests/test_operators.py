@@ -1,16 +1,20 @@
 """Rules, pairs, store, statistics and the rest on literal cases."""
 
+import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave import dims
-from stepweave.functions import agent_text, sanitize
+from stepweave import __main__ as cli
+from stepweave import dims, registry, sinks
+from stepweave.functions import agent_text, deepjson, sanitize
 from stepweave.functions.text import parse_document
-from stepweave.operators import episodes, export, judging, pairs, rules, statistics, store
+from stepweave.operators import episodes, export, judging, pairs, rules, statistics, store, training
 from stepweave.operators.ranking import distributed_row_number
-from stepweave.sources import files, logs
+from stepweave.plans import flows
+from stepweave.sources import files, logs, sessions
 from stepweave.streaming import ingest
 
 STEP = "traj_id string, ord int, tool string, target string, old_s string, new_s string, output string, params_key string, params_text string"
@@ -155,13 +159,14 @@ def test_judging(spark):
         else:
             stride = max(1, (n - 10) // 21)
             assert got == sorted({*range(5), *range(n - 5, n), *[5 + stride * i for i in range(20) if 5 + stride * i < n - 5]})
-    assert judging.scores_of('```json\n{"a": 2, "b": "x"}\n```', ["a", "b", "c"]) == [1.0, 0.5, 0.5]
-    assert judging.scores_of('so {"a": 0.25, "why": "trunc', ["a"]) == [0.25]
+    assert judging.scores_of('```json\n{"scores": {"a": 2, "b": "x"}}\n```', ["a", "b", "c"]) == [1.0, 0.5, 0.5]
+    assert judging.scores_of('so {"scores": {"a": 0.25}, "why": "trunc', ["a"]) == [0.25]
+    assert judging.scores_of('{"a": 0.25}', ["a"]) == [0.5]
     assert judging.scores_of(None, ["a"]) == [0.5]
     filled = judging.fill_with_median(spark.createDataFrame([("t", 0, 0.2), ("t", 1, 0.8), ("t", 2, None), ("u", 0, None)], "traj_id string, ord int, score double"))
     assert {(r.traj_id, r.ord): r.filled for r in filled.collect()} == {("t", 0): 0.2, ("t", 1): 0.8, ("t", 2): 0.8, ("u", 0): 0.5}
     df = spark.createDataFrame([("t", 0, "p")], "traj_id string, ord bigint, prompt string")
-    assert judging.judged(df, ["a"], lambda p: '{"a": 0.9}').first().scores == [0.9]
+    assert judging.judged(df, ["a"], lambda p: '{"scores": {"a": 0.9}}').first().scores == [0.9]
 
 
 def test_sanitizer(spark):
@@ -201,20 +206,26 @@ def test_profiles_and_adapters():
 
 
 def test_adapters(spark):
-    swe = spark.createDataFrame([("d", '[["ls", "Error: no"], [{"command": "open", "path": "x"}, "ok"], [{"command": "think"}, ""], ["short"]]')], "doc string, history string")
-    assert [(r.step_id, r.tool, r.exit_code) for r in logs.swe_steps(swe).orderBy("step_id").collect()] == [(0, "bash", 1), (1, "read_file", 0)]
+    doc = '{"history": [["ls", "Error: no"], [{"action": "open", "path": "x", "thought": "hm"}, "ok"], [{"action": "think"}, ""], ["short"], [{"path": "y"}, "Error"]], "info": {"exit_status": "submitted"}}'
+    swe = spark.createDataFrame([("d", doc)], "doc string, value string")
+    assert [(r.step_id, r.tool, r.params, r.thought, r.exit_code) for r in logs.swe_steps(swe).orderBy("step_id").collect()] == [(0, "bash", '{"command":"ls"}', "", 1), (1, "read_file", '{"path":"x","thought":"hm"}', "hm", 0), (2, "unknown", '{"path":"y"}', "", 0)]
+    assert logs.swe_outcome(swe).first().success is True
     crew = spark.createDataFrame([("s", 0, "message", "step", "p1", None), ("s", 1, "message", "assistant", "a1", None), ("s", 2, "message", "step", "p2", None), ("s", 3, "end", None, None, "completed")], "session string, ord int, event string, role string, content string, status string")
     assert [(r.step_id, r.prompt, r.content) for r in logs.crew_pipeline_steps(crew).collect()] == [(0, "p1", "a1")]
     assert tuple(logs.crew_employee_step(crew).first()) == ("s", "a1", True)
-    blocks = spark.createDataFrame([("f", 0, "text", None, None, "hm"), ("f", 1, "tool_use", "u", "bash", "{}"), ("f", 2, "tool_result", "u", None, "old"), ("f", 3, "tool_result", "u", None, "new")], "file string, ord int, kind string, id string, name string, text string")
-    assert [(r.tool, r.output) for r in logs.session_steps(blocks).orderBy("ord").collect()] == [("thinking", ""), ("bash", "new")]
+    said = lambda role, blocks: json.dumps({"type": role, "message": {"role": role, "content": blocks}})
+    result = lambda text: {"type": "tool_result", "tool_use_id": "u", "content": text}
+    lines = [said("assistant", [{"type": "text", "text": "hm"}]), "no json", said("assistant", [{"type": "text", "text": "go"}, {"type": "tool_use", "id": "u", "name": "bash", "input": {"c": 1}}, {"type": "tool_use", "id": "v", "name": "ls"}]), said("user", [result("old")]), said("user", [result("x" * 9000)]), said("user", "plain text")]
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, ord bigint, value string")
+    got = sessions.session_steps(sessions.entries(rows)).orderBy("step_id").collect()
+    assert [(r.tool, r.params, r.thought, len(r.output)) for r in got] == [("thinking", "{}", "hm", 0), ("bash", '{"c":1}', "go", 8000 + len("\n... (truncated, 9000 chars total)")), ("ls", "{}", "", 0)]
 
 
 def test_files(spark, tmp_path):
     p = tmp_path / "t.jsonl"
     p.write_text('{"task_id": "x", "language": "Go"}\n\nbad\n{"description": "d"}\n')
     got = {(r.task_id, r.language, r.difficulty) for r in files.read_tasks(spark, str(p)).collect()}
-    assert got == {("x", "Go", "medium"), ("task_2", "python", "medium")} or got == {("x", "Go", "medium"), ("task_1", "python", "medium")}
+    assert got == {("x", "Go", "medium"), ("task_4", "python", "medium")}
     assert files.filter_tasks(files.read_tasks(spark, str(p)), language="GO").count() == 1
     a = tmp_path / "p.json"
     a.write_text('[{"task_id": "k", "reward_margin": 0.5}]')
@@ -259,10 +270,135 @@ def test_upsert_stream(spark, tmp_path):
     merge(row(0.5, "a"), 0)
     merge(row(0.9, "b"), 1)
     merge(row(0.95, "c"), 1)  # the same batch again
-    import json
+    assert [(r.reward, r.data) for r in ingest.read_store(spark, str(tmp_path)).collect()] == [(0.9, "a")]
+    ingest.compact(spark, str(tmp_path), str(tmp_path / "one"))
+    assert [(r.reward, r.data) for r in ingest.read_store(spark, str(tmp_path / "one")).collect()] == [(0.9, "a")]
 
-    at = json.load(open(tmp_path / "current.json"))["at"]
-    assert [(r.reward, r.data) for r in spark.read.parquet(at).collect()] == [(0.9, "a")]
+
+def test_content_hash_of_odd_texts(spark):
+    odd = ["line1\nline2", 'a"b\\c', "\t\r\b\f\u0001\u001f\u007f", "é漢😀", None, ""]
+    df = spark.createDataFrame([(f"t{i}", 0, "bash", "x/\ny", o) for i, o in enumerate(odd)], "traj_id string, ord int, tool string, target string, output string")
+    got = {r.traj_id: r.content_hash for r in store.flat_content_hash(df).collect()}
+    for i, o in enumerate(odd):
+        text = json.dumps([{"tool": "bash", "params": {"path": "x/\ny"}, "output": o or ""}], sort_keys=True, ensure_ascii=False)
+        assert got[f"t{i}"] == hashlib.sha256(text.encode()).hexdigest()[:16]
+    deep = "[" * 5000 + "1" + "]" * 5000
+    assert spark.createDataFrame([(f'[{{"tool": "t", "params": {{"a": {deep}}}}}]',)], "t string").select(store.content_hash(F.col("t"))).first()[0]
+
+
+def test_json_of_any_depth():
+    rng = random.Random(1)
+
+    def made(k):
+        r = rng.random()
+        if k > 4 or r < 0.4:
+            return rng.choice([1, -2.5, 1e10, 'a"\n\\é', None, True, False, ""])
+        return [made(k + 1) for _ in range(rng.randint(0, 4))] if r < 0.7 else {rng.choice("abc\n"): made(k + 1) for _ in range(rng.randint(0, 4))}
+
+    for _ in range(500):
+        v = made(0)
+        text = json.dumps(v, indent=rng.choice([None, 1]))
+        assert deepjson._read(text, float) == v
+        i = rng.randrange(len(text))
+        bad = text[:i] + rng.choice('{}[],:"x') + text[i + rng.randint(0, 1) :]
+        try:
+            want = json.loads(bad)
+        except ValueError:
+            with pytest.raises(ValueError):
+                deepjson._read(bad, float)
+        else:
+            assert deepjson._read(bad, float) == want
+    deep = "[" * 100_000 + "]" * 100_000
+    assert deepjson.dumps(deepjson.loads(deep)) == deep
+
+
+def test_samples_mask_all_but_the_assistant():
+    steps = [{"thought": "a b", "action": "go", "observation": "seen it"}, {"thought": "", "action": "end", "observation": ""}]
+    turns = training.agent_turns("do this", "", steps)
+    assert [r for r, _ in turns] == ["user", "assistant", "user", "assistant"]
+    got = training.masked(turns, training.words_tokenizer, 100, [1.0, 3.0])
+    words = training.conversation_text(turns).split()
+    kept = [w for w, label in zip(words, got["labels"]) if label != training.IGNORED]
+    assert kept == ["assistant:", "Thought:", "a", "b", "Action:", "go", "assistant:", "Action:", "end"]
+    assert [w for w in got["weights"] if w != 1.0] == [0.5] * 6 + [1.5] * 3
+    assert len(training.masked(turns, training.words_tokenizer, 5)["input_ids"]) == 5
+
+
+def test_audits_and_full_redaction(spark):
+    text = "password=mysecretpassword123 and a.b@c.org"
+    got = spark.createDataFrame([(text,)], "t string").select(sanitize.audit(F.col("t"))).first()[0]
+    assert [tuple(a) for a in got] == [("credential_assignment", "mysecretpassword123", "[REDACTED_CREDENTIAL]", 9), ("email", "a.b@c.org", "[REDACTED_EMAIL]", 35)]
+    doc = {"steps": [{"step_id": 4, "thought": "mail a@b.org", "tool_call": {"parameters": {"x": [{"y": "13812345678"}]}}}], "task": {"description": "a@b.org"}}
+    row = sanitize.sanitize_trajectories(spark.createDataFrame([(json.dumps(doc),), ("x a@b.org",), (None,)], "data string")).collect()
+    assert [(r.total_redacted, len(r.entries)) for r in row] == [(3, 3), (1, 1), (0, 0)]
+    assert [(e.step_id, e.field) for e in row[0].entries] == [("4", "thought"), ("4", "params"), (None, "task.description")]
+    assert json.loads(row[0].data)["steps"][0]["tool_call"]["parameters"] == {"x": [{"y": "[REDACTED_PHONE]"}]}
+    soft = spark.createDataFrame([("mail a@b.org now",), ("short",)], "t string").select(sanitize.sanitize_full(F.col("t"), str.upper)).collect()
+    assert [r[0] for r in soft] == ["MAIL [REDACTED_EMAIL] NOW", "short"]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("t1", "a", 0.9, 1, 3, "m", "e", "f", ""), ("t2", "b", 0.1, 0, 2, "n", "e", "f", "kept")], "traj_id string, task_id string, reward double, success int, n_steps int, agent_model string, employee string, agent_framework string, content_hash string")
+    saved = sinks.save_trajectories(rows, F.lit('[{"tool": "x"}]'), str(tmp_path / "saved"))
+    assert {r.content_hash for r in saved.collect()} == {"kept", hashlib.sha256(b'[{"output": "", "params": {}, "tool": "x"}]').hexdigest()[:16]}
+    sinks.save_checkpoint(rows.select("task_id").limit(1), rows, str(tmp_path / "check"))
+    left, before = sinks.resume(spark, rows.select("task_id"), str(tmp_path / "check"))
+    assert (left.count(), before.count()) == (1, 2)
+    sinks.save_report(sinks.evaluation_report(rows), str(tmp_path / "r.md"))
+    with pytest.raises(ValueError):
+        sinks.save_report(rows, str(tmp_path / "r.txt"))
+    seen = []
+    sinks.export_folder(rows, rows, rows.limit(0), rows, str(tmp_path / "set"), seen.append)
+    assert seen and not (tmp_path / "set/dpo").exists() and "| Total trajectories | 2 |" in spark.read.text(str(tmp_path / "set/README"), wholetext=True).first()[0]
+    write = sinks.append_batch(str(tmp_path / "daily"), lambda b: b)
+    write(rows, 0)
+    write(rows, 0)
+    assert spark.read.json(str(tmp_path / "daily/numbers")).first().high == 1
+
+
+def test_batches_of_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"history": [["ls", "ok"]], "info": {}}')
+    (tmp_path / "b.json").write_text('{"history": []}')
+    (tmp_path / "c.json").write_text("no json")
+    assert [(r.doc, r.tool) for r in flows.convert_batch(spark, str(tmp_path), "sweagent", "*.json").collect()] == [("a.json", "bash")]
+    (tmp_path / "e.jsonl").write_text('{"id": 1, "source": "agent", "action": "run", "args": "{}"}\n{"id": 2, "observation": "run", "content": "x"}\n')
+    (tmp_path / "f.jsonl").write_text('{"id": 1, "source": "agent"}\n')
+    assert [(r.log_id, r.tool) for r in flows.convert_batch(spark, str(tmp_path), "openhands", "*.jsonl").collect()] == [("e.jsonl", "bash")]
+    found = sessions.read_sessions(spark, str(tmp_path))
+    assert found.count() == 3 and sessions.read_sessions(spark, str(tmp_path), "2999-01-01").count() == 0
+
+
+def test_custom_profiles(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"domain": "lab", "tools": [{"name": "stir", "category": "write", "stateful_key": "pot", "aliases": ["mix"]}], "rubrics": [{"id": "care", "weight": 1.0, "evaluator": "rule"}]}')
+    assert dims.load_profile(spark, str(tmp_path / "p.json")) == "lab" and "lab" in dims.list_domains()
+    assert ("mix", "write", "pot") in dims.profile("lab") and dims.rubric_set_of("lab") == "lab" and dims.rubric("lab", "care")[2] == 1.0
+    dims.CUSTOM_TOOLS.clear(), dims.CUSTOM_RUBRICS.clear()
+
+
+def test_episode_stream(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    row = lambda e, r, done, at: json.dumps({"episode": e, "reward": r, "done": done, "at": f"2024-01-01T{at}:00Z"})
+    batches = [[row("a", 1.0, False, "00:00"), row("b", 2.0, False, "00:01")], [row("a", 0.5, True, "00:05"), row("c", 1.0, False, "00:40")], [row("d", 1.0, False, "03:00")], [row("d", 1.0, False, "03:01")]]
+    stream = ingest.episode_sums(spark.readStream.schema("episode string, reward double, done boolean, at timestamp").json(str(source)), "10 minutes")
+    q = stream.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").json(f"{out}/batch={i}")).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).start()
+    for i, lines in enumerate(batches):
+        (source / f"{i}.json").write_text("\n".join(lines) + "\n")
+        q.processAllAvailable()
+    q.stop()
+    got = {(r.episode, r.steps, r.total, r.done) for r in spark.read.schema("episode string, steps bigint, total double, done boolean").json(out).collect()}
+    assert {("a", 2, 1.5, True), ("b", 1, 2.0, False), ("c", 1, 1.0, False)} <= got
+
+
+def test_rescoring_shares_and_losses(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.7), ("b", 0.2, 0.9)], "traj_id string, reward double, computed double")
+    assert {r.traj_id: r.reward for r in rules.rescored(df).collect()} == {"a": 0.7, "b": 0.2}
+    assert episodes.worker_shares(10, 4) == [3, 3, 2, 2]
+    tokens = spark.createDataFrame([("t", 0, 5, -9.0, 1.0), ("t", 1, 5, -1.0, 2.0), ("t", 2, -100, -7.0, 1.0)], "traj_id string, pos int, label int, log_prob double, weight double")
+    assert statistics.sequence_log_probs(tokens).first().log_prob == -1.0
+    assert statistics.weighted_cross_entropy(tokens).first().loss == pytest.approx(5.5)
+    with pytest.raises(ValueError):
+        statistics.calibration(df.limit(1), "reward", "computed")
 
 
 @pytest.mark.parametrize("block", [7, 65_536])
@@ -288,3 +424,39 @@ def test_exact_calibration_queries(spark, data):
     got = q["a10_calibration_exact"](spark, data).first()
     assert got.n == len(rows) and got.mae == pytest.approx(sum(error) / len(error), abs=6e-5) and got.max_error == pytest.approx(max(error), abs=6e-5)
     assert q["t4_paired_exact"](spark, data).first().df == len(rows) - 1
+
+
+def test_environments_settings_and_simulated_tools(spark, tmp_path):
+    registry.register("echo", lambda **k: k, "coding", most=3)
+    assert registry.make("echo", seed=1) == {"most": 3, "seed": 1} and registry.list_envs("coding") == ["echo"] and registry.list_envs("crew") == []
+    with pytest.raises(ValueError):
+        registry.register("echo", dict)
+    with pytest.raises(KeyError):
+        registry.make("none")
+    (tmp_path / "s.json").write_text('{"epochs": 5, "seed": 7}')
+    s = registry.settings(spark, str(tmp_path / "s.json"), seed=9, max_length=None)
+    assert (s.epochs, s.seed, s.max_length) == (5, 9, 2048)
+    said = spark.createDataFrame([("coding", "grep", '{"pattern": "x"}'), ("coding", "fly", "{}")], "d string, t string, p string").select(registry.simulated_output(F.col("d"), F.col("t"), F.col("p"))).collect()
+    assert [r[0] for r in said] == ["[grep] x", "unknown tool: fly"]
+
+
+def test_crew_lines_go_into_the_store(spark, tmp_path):
+    line = lambda name, reward: json.dumps({"task": {"task_id": name}, "agent": "crew/ann", "steps": [{"tool_call": {"name": "ls", "parameters": {"p": name}}, "tool_result": {"output": "o"}}], "outcome": {"success": True, "reward": reward}})
+    take = ingest.crew_ingest(str(tmp_path))
+    take(spark.createDataFrame([(line("a", 0.2),), ("broken",), (line("b", 0.4),)], "value string"), 0)
+    take(spark.createDataFrame([(line("a", 0.9),)], "value string"), 1)
+    got = {r.task_id: (r.reward, r.employee, r.agent_framework) for r in ingest.read_store(spark, str(tmp_path / "store")).collect()}
+    assert got == {"a": (0.9, "ann", "crew"), "b": (0.4, "ann", "crew")}
+    assert {(r.ingested, r.errors) for r in spark.read.json(str(tmp_path / "numbers")).collect()} == {(2, 1), (1, 0)}
+    (tmp_path / "x.txt").write_text("one\n\nthree\n")
+    rows, cursor = ingest.new_lines(spark, str(tmp_path / "x.txt"), 2)
+    assert ([r.value for r in rows.collect()], cursor) == (["three"], 4)
+
+
+def test_command_line(spark, data, tmp_path):
+    assert cli.main(["validate", f"{data}/trajectories.parquet", "--out", str(tmp_path / "v")], spark) == 0
+    assert spark.read.json(str(tmp_path / "v")).first().total > 0
+    assert cli.main(["process", f"{data}/messages.parquet", "--out", str(tmp_path / "p")], spark) == 0
+    assert spark.read.json(str(tmp_path / "p")).where("reward > 0").count() > 0
+    for verb in ("card", "compare", "pairs", "split"):
+        assert cli.main([verb, f"{data}/trajectories.parquet", "--out", str(tmp_path / verb)], spark) == 0
