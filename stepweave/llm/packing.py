@@ -16,8 +16,6 @@ GROUP = 2048
 UNDERFULL = 0.97
 #: Rounds of packing underfull bins of ever wider origin.
 ROUNDS = 3
-#: Exchanges tried to empty one bin.
-TRIES = 200
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -52,7 +50,7 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarr
         if not alive:
             break
         at = min(alive, key=lambda b: (fill[b], b))
-        for _ in range(TRIES):
+        while True:  # each step takes from this bin, so at most as many as it has tokens
             own = np.flatnonzero((bins == at) & (sizes > 0))
             if not len(own):
                 break
@@ -85,14 +83,24 @@ def _exchange(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, room: np.nd
     """The exchange that fills another bin most: one or two items of this bin for one of that."""
     best = (0, None, None)
     free = room[bins]
-    groups = [(i,) for i in own] + [(i, j) for k, i in enumerate(own[:24]) for j in own[k + 1 : 24]]
-    for group in groups:
-        gain = sizes[list(group)].sum() - sizes
+    for i in own:
+        gain = sizes[i] - sizes
         ok = np.flatnonzero((gain > 0) & (gain <= free) & (sizes > 0))
         if len(ok):
             j = ok[gain[ok].argmax()]
             if gain[j] > best[0]:
-                best = (int(gain[j]), group, int(j))
+                best = (int(gain[j]), (i,), int(j))
+    # Two for one: for each first item and each item to be taken out, the largest second one that fits, by binary search.
+    mine = own[np.argsort(sizes[own], kind="stable")]
+    small = sizes[mine]
+    out = np.flatnonzero((free >= 0) & (sizes > 0))
+    for k in range(1, len(mine)) if len(out) else ():
+        most = sizes[out] + free[out] - small[k]
+        second = np.minimum(np.searchsorted(small, most, side="right"), k) - 1
+        gain = np.where(second >= 0, small[k] + small[second] - sizes[out], 0)
+        j = gain.argmax()
+        if gain[j] > best[0]:
+            best = (int(gain[j]), (mine[k], mine[second[j]]), int(out[j]))
     if best[1] is None:
         return False
     to = int(bins[best[2]])
