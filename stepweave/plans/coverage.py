@@ -348,7 +348,17 @@ def oracle_sql() -> dict[str, str]:
     lines = [(r, "\n".join(f"- {i} (weight: {w})" for t, i, w, _ in dims.rubric_rows() if t == r)) for r in dict.fromkeys(x[0] for x in dims.rubric_rows())]
     board = ORACLES["a6_leaderboard"].split("SELECT *, row_number()")[0]
     welch = ORACLES["pg18_pairwise"]
+    redacted = "st.thought"
+    for _, pattern, shown in sanitize.RULES:
+        redacted = "regexp_replace({}, '{}', '{}', 'g')".format(redacted, pattern.replace("'", "''"), shown.replace("$1", "\\1"))
+    exact = lambda name: ORACLES[name].replace("round(reward, 2) AS x, round(least(1.0, mean_value / 100), 2) AS y", "reward AS x, least(1.0, mean_value / 100) AS y")
     return {
+        "a10_calibration_exact": exact("a10_calibration"),
+        "a13_agreement_exact": exact("a13_agreement"),
+        "t4_paired_exact": exact("t4_paired"),
+        "e3_full": f"SELECT record_id, {redacted.replace('st.thought', 'response')} AS text FROM sft_records",
+        "e1_sanitized": f"WITH u AS (SELECT traj_id, unnest(steps) AS st FROM browser_trajectory) SELECT DISTINCT traj_id, st.step_id AS step_id, {redacted} AS text FROM u",
+        "k10_payloads": _R + """SELECT traj_id, to_json(struct_pack(task_id := task_id, agent_model := agent_model, employee := employee, reward := reward, success := success = 1, total_steps := n_steps))::VARCHAR AS payload FROM w""",
         "s8_tasks": """WITH t AS (SELECT p_partkey, p_size % 4 AS c, row_number() OVER (ORDER BY p_partkey) AS line FROM part)
 SELECT CASE c WHEN 1 THEN 'p' || p_partkey ELSE 'task_' || line END AS task_id, CASE c WHEN 2 THEN 'part ' || p_partkey ELSE '' END AS description, 'bug_fix' AS type, CASE c WHEN 1 THEN 'Go' ELSE 'python' END AS language, CASE c WHEN 2 THEN 'hard' ELSE 'medium' END AS difficulty, '' AS repo, '' AS base_commit, '' AS test_command FROM t WHERE c <> 0""",
         "s9_benchmark_tasks": "SELECT 'i-' || p_partkey AS task_id, p_name AS description, 'bug_fix' AS type, 'python' AS language, CASE WHEN p_size + 1 < 10 THEN 'easy' WHEN p_size + 1 < 50 THEN 'medium' ELSE 'hard' END AS difficulty, p_brand AS repo, '' AS base_commit FROM part",
