@@ -187,7 +187,7 @@ def flat_tables(trajectories: DataFrame, browser: DataFrame) -> DataFrame:
 
     Null keys, null texts, empty texts and texts that are not one whole JSON document give no row; records that are stored several times give their rows once; other columns are not read. A string anywhere that is itself a whole JSON object or array counts as that document, and its path goes on below the string's. Of a key written twice in one object the last value counts. A step whose tool has no name has a null leaf.
     """
-    steps = child_tables(trajectory_roots(trajectories).distinct()).where("step").select(F.lit("trajectories").alias("tab"), "record_key", "path", "parent_path", "leaf")
+    steps = child_tables(trajectory_roots(trajectories)).where("step").select(F.lit("trajectories").alias("tab"), "record_key", "path", "parent_path", "leaf")
     urls = child_tables(browser_roots(browser)).where("url").select(F.lit("browser_trajectory").alias("tab"), "record_key", "path", "parent_path", "leaf")
     return steps.unionByName(urls).distinct()
 
@@ -220,5 +220,5 @@ def child_rows(trajectories: DataFrame) -> DataFrame:
 
     The record is the row of ``trajectories`` itself. Nulls, empty texts, repeats and text that isn't JSON as in ``flat_tables``.
     """
-    roots = trajectory_roots(trajectories).select("record_key", "text").distinct()
+    roots = trajectory_roots(trajectories).select("record_key", "text")
     return roots.mapInPandas(_elements, _CHILD).distinct()

@@ -11,8 +11,8 @@ from stepweave.operators.ranking import distributed_row_number
 
 def _ranked(trajs: DataFrame, by: str = "task_id") -> DataFrame:
     """Best first, ties by traj_id, with the size of the group. No group is ranked in one task; rows without a group are left out."""
-    sizes = trajs.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    return distributed_row_number(trajs, [by], [F.desc("reward"), F.asc("traj_id")], "rn").join(sizes, by)
+    ranked = distributed_row_number(trajs, [by], [F.desc("reward"), F.asc("traj_id")], "rn")
+    return ranked.join(ranked.groupBy(by).agg(F.max("rn").alias("n")), by)
 
 
 def adjacent_pairs(trajs: DataFrame, by: str = "task_id", keep_ties: bool = False, digits: int | None = None) -> DataFrame:
@@ -84,7 +84,7 @@ def group_records(trajs: DataFrame, texts: DataFrame, size: int | None = 8) -> D
     """(task_id, prompt, n, rn, traj_id, response, reward): the best ``size`` (None: all) of each named task with two or more trajectories, one row each so that no group is gathered, with the prompt of the best one: its description, else the task's name."""
     r = _ranked(trajs.where("task_id <> ''")).where("n >= 2")
     if size:
-        r = r.where(F.col("rn") <= size).withColumn("n", F.least("n", F.lit(size)))
+        r = r.where(F.col("rn") <= size).withColumn("n", F.least(F.col("n"), F.lit(size)))
     description = F.col("description") if "description" in trajs.columns else F.lit(None).cast("string")
     prompts = r.where("rn = 1").select("task_id", F.coalesce(description, F.concat(F.lit("Solve task: "), "task_id")).alias("prompt"))
     return r.join(prompts, "task_id").join(texts.select("traj_id", F.col("text").alias("response")), "traj_id", "left").select("task_id", "prompt", "n", "rn", "traj_id", F.coalesce("response", F.lit("")).alias("response"), "reward")

@@ -108,7 +108,7 @@ def _pearson(x: Column, y: Column) -> Column:
 
 def calibration(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(n, pearson, spearman, mae, max_error, min_error): average ranks for ties, all rounded to 4. Ranks come from running sums of the counts of distinct values; rows with a null are left out, and fewer than two are an error."""
-    ranked = rows = rows.dropna(subset=[x, y])
+    ranked = rows = cut(rows.select(x, y).dropna())
     if len(rows.take(2)) < 2:
         raise ValueError("at least two rows with both scores are needed")
     for c in (x, y):
