@@ -154,7 +154,7 @@ def pairwise_agreement(rows: DataFrame, x: str, y: str, block: int = 65_536) ->
     found = found.unionByName(placed.groupBy("bs").applyInPandas(inside("br"), "c bigint")).unionByName(placed.groupBy("br").applyInPandas(inside("r"), "c bigint"))
     sums = placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum(F.expr("n * (n - 1) div 2")).alias("t"))
     total = F.expr("rows * (rows - 1) div 2")
-    return sums.crossJoin(found.agg(F.sum("c").alias("c"))).select(total.alias("pairs"), F.round(F.try_divide(F.col("c") + F.col("t"), total), 4).alias("agreement"))
+    return sums.withColumn("c", found.agg(F.sum("c")).scalar()).select(total.alias("pairs"), F.round(F.try_divide(F.col("c") + F.col("t"), total), 4).alias("agreement"))
 
 
 def group_advantages(rows: DataFrame, by: str = "task_id", value: str = "reward") -> DataFrame:

@@ -24,7 +24,7 @@ def save_trajectories(trajs: DataFrame, steps_json: Column, path: str, append: b
 
 def save_checkpoint(done: DataFrame, trajs: DataFrame, path: str) -> None:
     """Counts, finished tasks and trajectories below ``path``; each part is replaced as a whole."""
-    trajs.agg(F.count(F.lit(1)).alias("trajectories")).crossJoin(done.agg(F.count(F.lit(1)).alias("done"))).write.mode("overwrite").json(f"{path}/counts")
+    trajs.agg(F.count(F.lit(1)).alias("trajectories")).withColumn("done", done.agg(F.count(F.lit(1))).scalar()).write.mode("overwrite").json(f"{path}/counts")
     done.select("task_id").distinct().write.mode("overwrite").parquet(f"{path}/done")
     trajs.write.mode("overwrite").parquet(f"{path}/trajectories")
 

@@ -11,6 +11,8 @@ _ENTRY = "type STRING, agentSetting STRING, sessionId STRING, timestamp STRING,
 _BLOCKS = "array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
 #: Characters of a memory, a description and a session id.
 MEMORY, DESCRIPTION, SESSION_ID = 300, 200, 36
+#: Names of a roster, at most.
+ROSTER = 10_000
 
 
 def read_sessions(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -70,9 +72,10 @@ def session_heads(entry_rows: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select(F.col("name").alias("_n"), "employee")
     for key, c in (("_by_setting", F.col("setting")), ("_by_call", called)):
         g = g.join(known.select("_n", F.col("employee").alias(key)), F.col("_n") == c, "left").drop("_n")
-    # The table of names is small: it is looked up in the file's name and the text by its array.
-    listed = names.agg(F.array_sort(F.collect_set(F.struct("name", "employee"))).alias("_names"))
-    g = g.crossJoin(F.broadcast(listed))
+    # A name may stand anywhere in a file's name or a text, so the roster is looked through; its size is checked first.
+    if names.limit(ROSTER + 1).count() > ROSTER:
+        raise ValueError(f"a roster has at most {ROSTER} names")
+    g = g.withColumn("_names", names.agg(F.array_sort(F.collect_set(F.struct("name", "employee")))).scalar())
     found = lambda where: F.try_element_at(F.transform(F.filter("_names", lambda x: F.contains(where, x["employee"]) | F.contains(where, x["name"])), lambda x: x["employee"]), F.lit(1))
     mentioned = F.try_element_at(F.transform(F.filter("_names", lambda x: F.contains(F.coalesce("asked", F.lit("")), x["employee"])), lambda x: x["employee"]), F.lit(1))
     stem = F.regexp_replace(F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1), "^agent-", "")
