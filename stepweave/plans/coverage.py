@@ -338,7 +338,7 @@ _EPISODE = """ SELECT 'all' AS a, count(reward) AS n, avg(reward) AS m, coalesce
 _SUMMARY = """round(m, 4) AS mean, round(s, 4) AS std, round(lo, 4) AS min, round(hi, 4) AS max, round(m - 1.96 * s / sqrt(n), 4) AS ci_low, round(m + 1.96 * s / sqrt(n), 4) AS ci_high, round(p, 4) AS success_rate,
   round((p + z * z / (2 * n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 4) AS wilson_low, round((p + z * z / (2 * n) + z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 4) AS wilson_high,
   round(sm, 4) AS avg_steps, round(ss, 4) AS std_steps, round(sm - 1.96 * ss / sqrt(n), 4) AS steps_low, round(sm + 1.96 * ss / sqrt(n), 4) AS steps_high"""
-_PC = "printf('%.1f%%', round({0} * 100, 6))"
+_PC = "printf('%.1f%%', round({0} * 100 + 1e-9, 1))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -473,11 +473,11 @@ g AS (SELECT -avg(least(r * a, greatest(0.8, least(1.2, r)) * a)) AS pl, avg(kl)
         "l4_perplexity": "SELECT round(exp(sum(o_totalprice / 1e5) / sum(o_custkey % 9 + 1)), 6) AS perplexity, round(sum(o_custkey % 2)::DOUBLE / sum(o_custkey % 9 + 1), 6) AS accuracy FROM orders",
         "k6_datacard": _R
         + """, g AS (SELECT count(*) AS n, count(*) FILTER (success = 1) AS ok, avg(reward) AS reward, avg(n_steps) AS steps, (SELECT string_agg(agent_model, ', ' ORDER BY agent_model) FROM (SELECT DISTINCT agent_model FROM w)) AS models FROM w)
-SELECT '# Agent trajectories' || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|---|---|' || chr(10) || '| Total trajectories | ' || n || ' |' || chr(10) || '| Successful | ' || ok || ' |' || chr(10) || '| Success rate | ' || printf('%.1f%%', ok * 100.0::DOUBLE / n) || ' |' || chr(10) || '| Average reward | ' || printf('%.3f', reward) || ' |' || chr(10) || '| Average steps | ' || printf('%.1f', steps) || ' |' || chr(10) || '| Agent models | ' || models || ' |' || chr(10) || '| Agent frameworks | derived |' AS card FROM g""",
+SELECT '# Agent trajectories' || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|---|---|' || chr(10) || '| Total trajectories | ' || n || ' |' || chr(10) || '| Successful | ' || ok || ' |' || chr(10) || '| Success rate | ' || printf('%.1f%%', round(ok * 100.0::DOUBLE / n + 1e-9, 1)) || ' |' || chr(10) || '| Average reward | ' || printf('%.3f', round(reward + 1e-9, 3)) || ' |' || chr(10) || '| Average steps | ' || printf('%.1f', round(steps + 1e-9, 1)) || ' |' || chr(10) || '| Agent models | ' || models || ' |' || chr(10) || '| Agent frameworks | derived |' AS card FROM g""",
         "k7_report": _R
-        + f", m AS ({_EPISODE}), f AS (SELECT n, bin0, bin1, bin2, bin3, {_SUMMARY} FROM m) SELECT '# Evaluation' || chr(10) || '- success rate ' || {_PC.format('success_rate')} || ' (95% CI ' || {_PC.format('wilson_low')} || ' - ' || {_PC.format('wilson_high')} || ')' || chr(10) || printf('- reward %.3f +- %.3f (95%% CI %.3f - %.3f)', mean, std, ci_low, ci_high) || chr(10) || printf('- rewards [%.3f, %.3f]', min, max) || chr(10) || printf('- steps %.1f +- %.1f', avg_steps, std_steps) || chr(10) || '- episodes ' || n || chr(10) || '| rewards | episodes | share |' "
-        + "".join(f"|| chr(10) || '| {label} | ' || {c} || ' | ' || printf('%.1f%%', round({c} * 100::DOUBLE / n, 6)) || ' |' " for label, c in (("0.00-0.25", "bin0"), ("0.25-0.50", "bin1"), ("0.50-0.75", "bin2"), ("0.75-1.00", "bin3")))
+        + f", m AS ({_EPISODE}), f AS (SELECT n, bin0, bin1, bin2, bin3, {_SUMMARY} FROM m) SELECT '# Evaluation' || chr(10) || '- success rate ' || {_PC.format('success_rate')} || ' (95% CI ' || {_PC.format('wilson_low')} || ' - ' || {_PC.format('wilson_high')} || ')' || chr(10) || printf('- reward %.3f +- %.3f (95%% CI %.3f - %.3f)', round(mean + 1e-9, 3), round(std + 1e-9, 3), round(ci_low + 1e-9, 3), round(ci_high + 1e-9, 3)) || chr(10) || printf('- rewards [%.3f, %.3f]', round(min + 1e-9, 3), round(max + 1e-9, 3)) || chr(10) || printf('- steps %.1f +- %.1f', round(avg_steps + 1e-9, 1), round(std_steps + 1e-9, 1)) || chr(10) || '- episodes ' || n || chr(10) || '| rewards | episodes | share |' "
+        + "".join(f"|| chr(10) || '| {label} | ' || {c} || ' | ' || printf('%.1f%%', round({c} * 100::DOUBLE / n + 1e-9, 1)) || ' |' " for label, c in (("0.00-0.25", "bin0"), ("0.25-0.50", "bin1"), ("0.50-0.75", "bin2"), ("0.75-1.00", "bin3")))
         + "AS report FROM f",
-        "k8_comparison": board + ", bd AS (SELECT *, row_number() OVER (ORDER BY avg_reward DESC, agent_model) AS place FROM q), pw AS (" + welch + f") SELECT place, '| ' || place || ' | ' || agent_model || ' | ' || {_PC.format('success_share')} || ' | ' || printf('%.3f', avg_reward) || ' | ' || (SELECT count(*) FROM pw WHERE (a = agent_model OR b = agent_model) AND significant) || ' | ' || (SELECT count(*) FROM pw WHERE (a = agent_model OR b = agent_model) AND significant_corrected) || ' |' AS line FROM bd",
+        "k8_comparison": board + ", bd AS (SELECT *, row_number() OVER (ORDER BY avg_reward DESC, agent_model) AS place FROM q), pw AS (" + welch + f") SELECT place, '| ' || place || ' | ' || agent_model || ' | ' || {_PC.format('success_share')} || ' | ' || printf('%.3f', round(avg_reward + 1e-9, 3)) || ' | ' || (SELECT count(*) FROM pw WHERE (a = agent_model OR b = agent_model) AND significant) || ' | ' || (SELECT count(*) FROM pw WHERE (a = agent_model OR b = agent_model) AND significant_corrected) || ' |' AS line FROM bd",
         "k9_batch_numbers": _R + "SELECT count(*) AS n, count(*) FILTER (success = 1) AS succeeded, round(avg(reward), 4) AS avg_reward, count(*) FILTER (reward >= 0.7) AS high FROM w",
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepweave.functions.text import rounded
 from stepweave.operators import statistics, store
 from stepweave.sources.files import write_lines
 
@@ -42,9 +43,9 @@ def datacard(trajs: DataFrame) -> DataFrame:
     rows = (
         line("Total trajectories", F.col("n").cast("string")),
         line("Successful", F.col("ok").cast("string")),
-        line("Success rate", F.format_string("%.1f%%", F.coalesce(F.try_divide(F.col("ok") * 100.0, F.col("n")), F.lit(0.0)))),
-        line("Average reward", F.format_string("%.3f", "reward")),
-        line("Average steps", F.format_string("%.1f", "steps")),
+        line("Success rate", F.format_string("%.1f%%", rounded(F.coalesce(F.try_divide(F.col("ok") * 100.0, F.col("n")), F.lit(0.0)), 1))),
+        line("Average reward", F.format_string("%.3f", rounded(F.col("reward"), 3))),
+        line("Average steps", F.format_string("%.1f", rounded(F.col("steps"), 1))),
         line("Agent models", F.col("models")),
         line("Agent frameworks", F.col("frameworks")),
     )
@@ -52,19 +53,19 @@ def datacard(trajs: DataFrame) -> DataFrame:
 
 
 def _percent(c: str) -> Column:
-    return F.format_string("%.1f%%", F.round(F.col(c) * 100, 6))
+    return F.format_string("%.1f%%", rounded(F.col(c) * 100, 1))
 
 
 def evaluation_report(episodes: DataFrame) -> DataFrame:
     """(report): an agent's evaluation in Markdown, one row."""
     s = statistics.episode_summary(episodes)
-    bins = [F.concat(F.lit(f"| {label} | "), F.col(c).cast("string"), F.lit(" | "), F.format_string("%.1f%%", F.round(F.col(c) * 100 / F.col("n"), 6)), F.lit(" |")) for label, c in (("0.00-0.25", "bin0"), ("0.25-0.50", "bin1"), ("0.50-0.75", "bin2"), ("0.75-1.00", "bin3"))]
+    bins = [F.concat(F.lit(f"| {label} | "), F.col(c).cast("string"), F.lit(" | "), F.format_string("%.1f%%", rounded(F.col(c) * 100 / F.col("n"), 1)), F.lit(" |")) for label, c in (("0.00-0.25", "bin0"), ("0.25-0.50", "bin1"), ("0.50-0.75", "bin2"), ("0.75-1.00", "bin3"))]
     lines = (
         F.lit("# Evaluation"),
         F.concat(F.lit("- success rate "), _percent("success_rate"), F.lit(" (95% CI "), _percent("wilson_low"), F.lit(" - "), _percent("wilson_high"), F.lit(")")),
-        F.format_string("- reward %.3f +- %.3f (95%% CI %.3f - %.3f)", "mean", "std", "ci_low", "ci_high"),
-        F.format_string("- rewards [%.3f, %.3f]", "min", "max"),
-        F.format_string("- steps %.1f +- %.1f", "avg_steps", "std_steps"),
+        F.format_string("- reward %.3f +- %.3f (95%% CI %.3f - %.3f)", *(rounded(F.col(c), 3) for c in ("mean", "std", "ci_low", "ci_high"))),
+        F.format_string("- rewards [%.3f, %.3f]", rounded(F.col("min"), 3), rounded(F.col("max"), 3)),
+        F.format_string("- steps %.1f +- %.1f", rounded(F.col("avg_steps"), 1), rounded(F.col("std_steps"), 1)),
         F.concat(F.lit("- episodes "), F.col("n").cast("string")),
         F.lit("| rewards | episodes | share |"),
         *bins,
@@ -75,7 +76,7 @@ def evaluation_report(episodes: DataFrame) -> DataFrame:
 def comparison_report(episodes: DataFrame, by: str = "agent_model") -> DataFrame:
     """(place, line): the comparison of agents as the lines of a Markdown table, best first: place, agent, success rate, reward, and the number of agents it differs from before and after the correction."""
     c = statistics.compare_agents(episodes, by)
-    text = F.concat(F.lit("| "), F.col("place").cast("string"), F.lit(" | "), F.col(by), F.lit(" | "), _percent("success_share"), F.lit(" | "), F.format_string("%.3f", "avg_reward"), F.lit(" | "), F.col("differs").cast("string"), F.lit(" | "), F.col("differs_corrected").cast("string"), F.lit(" |"))
+    text = F.concat(F.lit("| "), F.col("place").cast("string"), F.lit(" | "), F.col(by), F.lit(" | "), _percent("success_share"), F.lit(" | "), F.format_string("%.3f", rounded(F.col("avg_reward"), 3)), F.lit(" | "), F.col("differs").cast("string"), F.lit(" | "), F.col("differs_corrected").cast("string"), F.lit(" |"))
     return c.select("place", text.alias("line"))
 
 
