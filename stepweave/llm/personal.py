@@ -258,18 +258,23 @@ def _decided(weights: np.ndarray):
 
 
 def _resolved(spans: pd.Series) -> pd.Series:
-    return spans.map(lambda found: [(k, s, e) for k, s, e in resolve([(f["kind"], f["start"], f["end"], f["z"]) for f in found])])
+    def one(found: list) -> list[tuple]:
+        values = {(f["kind"], f["start"], f["end"]): f["value"] for f in found}
+        return [(*span, values[span]) for span in resolve([(f["kind"], f["start"], f["end"], f["z"]) for f in found])]
+
+    return spans.map(one)
 
 
 def personal_spans(browser: DataFrame, given_names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(places, texts, finds): (traj_id, step_pos, field, key) of all texts, (key, text) of the distinct ones, and (key, found) with an array of (kind, start, end) for those that hold personal values.
+    """(places, texts, finds): (traj_id, step_pos, field, key) of all texts, (key, text) of the distinct ones, and (key, found) with an array of (kind, start, end, value) for those that hold personal values.
 
     The texts are searched once; what is counted, learned and decided afterwards works on the candidates alone.
     """
     key = F.unhex(F.md5("text"))
     values = field_texts(browser)
     places = cut(values.select("traj_id", "step_pos", "field", key.alias("key")).distinct())
-    texts = values.select("text").distinct().withColumn("key", key)
+    # Grouped and joined by the key, the texts move once.
+    texts = values.select("text", key.alias("key")).groupBy("key").agg(F.any_value("text").alias("text"))
     weighed = texts.where(F.col("text").rlike(_MAYBE)).join(places.groupBy("key").agg(F.count(F.lit(1)).alias("times")), "key")
     spans = cut(weighed.select("key", "times", "text").mapInPandas(_searched, f"key binary, times bigint, {_SPAN}"))
     spans = cut(_voted(spans, given_names))
@@ -282,8 +287,8 @@ def personal_spans(browser: DataFrame, given_names: DataFrame) -> tuple[DataFram
     picked.sort(key=lambda r: (r["kind"], r["rn"]))
     weights = train_classifier([(r["features"], truth[r["kind"]][tuple(r["votes"])]) for r in picked])
     decided = spans.mapInPandas(_decided(weights), "key binary, kind string, start int, end int, value string, z double")
-    listed = decided.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end", "z")).alias("spans"))
-    resolved = F.pandas_udf(_resolved, "array<struct<kind:string,start:int,end:int>>")
+    listed = decided.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end", "z", "value")).alias("spans"))
+    resolved = F.pandas_udf(_resolved, "array<struct<kind:string,start:int,end:int,value:string>>")
     return places, texts, listed.select("key", resolved("spans").alias("found"))
 
 
@@ -292,9 +297,8 @@ def personal_values(browser: DataFrame, given_names: DataFrame) -> DataFrame:
 
     Labelers by shape, form and gazetteer, context, and, for names, by how words combine over all rows vote on each candidate; expectation-maximisation over all candidates estimates how far each can be trusted; its labels train a logistic span classifier, which decides; of overlapping finds the longest stays. Null and empty texts and null ids give no row; a value that stands several times in one field gives one row; rows stored twice give theirs once and copied texts are searched once; an empty table or gazetteer gives no error, and a gazetteer of any size is joined, not collected; other columns are not read. Texts are read whole.
     """
-    places, texts, finds = personal_spans(browser, given_names)
-    f = F.col("f")
-    values = finds.join(texts, "key").select("key", "text", F.explode("found").alias("f")).select("key", f["kind"].alias("kind"), F.substring("text", f["start"] + 1, f["end"] - f["start"]).alias("value")).distinct()
+    places, _, finds = personal_spans(browser, given_names)
+    values = finds.select("key", F.explode("found").alias("f")).select("key", "f.kind", "f.value").distinct()
     return places.join(values, "key").select("traj_id", "step_pos", "field", "kind", "value")
 
 
