@@ -139,7 +139,8 @@ def judged_ends(values: DataFrame, carry: list[str]) -> DataFrame:
     key = F.unhex(F.md5("text"))
     held = values.where("text IS NOT NULL").select(*carry, "text", key.alias("key"))
     rows = cut(held.select(*carry, "key").distinct())
-    texts = cut(held.select("text").distinct().withColumn("key", key).join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")), "key"))
+    # Grouped and joined by the key, the texts move once.
+    texts = cut(held.groupBy("key").agg(F.any_value("text").alias("text")).join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")), "key"))
     # Two readings of the texts: one for the counts, which are a vocabulary, one for the last tokens of the last line.
     named = cut(spark.sql(_COUNTS, feat=spark.sql(_FEATURES, args=_PATTERNS | {"whole": True}, texts=texts)))
     counts = spark.sql("SELECT a, b, c, sum(inside) AS inside, sum(ends) AS ends, sum(dots) AS dots FROM {named} GROUP BY a, b, c", named=named)
